@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import ann, decontaminate, langid, pii, toxicity
+from quillspan.llm import ann, decontaminate, langid, pieces, pii, quality, toxicity, urls
 from quillspan.llm.common import table
 from quillspan.llm.repeats import remove_repeats
 from quillspan.llm.simhash import near_duplicates
@@ -18,6 +18,13 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).cast("int")
+    labels = table(spark, sf_dir, "labels").select("doc_id", bad.alias("bad"))
+    return urls.judge(pages, urls.mine(pages, labels))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     ends = F.filter("removed", lambda x, i: i % 2 == 1)
@@ -57,13 +64,27 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages, labels = (table(spark, sf_dir, name) for name in ("documents", "pages", "labels"))
+    return quality.assess(docs, pages, quality.fit(docs, pages, labels))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64("text").alias("was"))
+    coded = pieces.encode(docs, pieces.Vocabulary.load(), decoded=True)
+    return coded.select("doc_id", "ids", F.size("ids").alias("n_tokens"), (F.xxhash64("text") == F.col("was")).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
+    "op2_urls": op2_urls,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_simhash": op4_simhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
     "op8_pii": op8_pii,
+    "op9_quality": op9_quality,
+    "op10_pieces": op10_pieces,
 }
 ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.sql()}
