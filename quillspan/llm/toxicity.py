@@ -2,14 +2,15 @@
 
 P(grade > k) = sigmoid(x . w - b_k) with one weight vector w for all thresholds b_1 < b_2 < ..., fitted
 by proximal gradient steps with an L1 penalty.  Features are the presence of a word, and of its first
-four and first five characters, so that inflected forms share weight.  The expected severity is the sum
+four and first five characters, so that inflected forms share weight; they are hashed to 2**20 places,
+and executors send the driver only the places that occur in each sampled document.  The expected severity is the sum
 of P(grade > k) over the thresholds.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,30 +25,39 @@ from quillspan.llm.sampling import labelled_sample
 MAX_TRAIN = 12_000
 FEATURES = 4096
 GRADES = 3
+PLACES = 1 << 20
 WORD = re.compile(r"\w+")
-_CACHE = 200_000
+_CACHE = 100_000
 
 
-def features(text: str | None) -> set[str]:
-    found: set[str] = set()
-    for w in set(WORD.findall((text or "").lower())):
-        found.update(word_features(w))
-    return found
+def place(feature: str) -> int:
+    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % PLACES
 
 
-def word_features(word: str) -> list[str]:
-    return ["=" + word] + [f"{n}{word[:n]}" for n in (4, 5) if len(word) >= n]
+def word_features(word: str) -> list[int]:
+    """Places of a word and of its beginnings; the word's own comes first."""
+    return [place("=" + word)] + [place(f"{n}{word[:n]}") for n in (4, 5) if len(word) >= n]
 
 
-def grades_of(found: list[set[str]], sizes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def words_of(text: str | None) -> set[str]:
+    return set(WORD.findall((text or "").lower()))
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places of the words, and of all features."""
+    found = [word_features(w) for w in words_of(text)]
+    return np.unique(np.array([f[0] for f in found], dtype=np.int32)), np.unique(np.array([x for f in found for x in f], dtype=np.int32))
+
+
+def grades_of(words: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """Ordered grades from a binary label: 0 for clean; toxic ones are split at their median density of words that mark the toxic class."""
-    counts = [Counter(), Counter()]
-    for f, t in zip(found, toxic):
-        counts[int(t)].update(x for x in f if x[0] == "=")
+    n = np.zeros((2, PLACES), dtype=np.int32)
+    for w, t in zip(words, toxic):
+        n[int(t), w] += 1
     share = [max(1, int((toxic == t).sum())) for t in (0, 1)]
-    marks = {f for f, n in counts[1].items() if n >= 3 and counts[0][f] / share[0] < 0.1 * n / share[1]}
-    density = np.array([len(f & marks) for f in found]) / np.maximum(sizes, 1)
-    grade = np.zeros(len(found), dtype=np.int64)
+    marks = (n[1] >= 3) & (n[0] / share[0] < 0.1 * n[1] / share[1])
+    density = np.array([marks[w].sum() / max(1, len(w)) for w in words])
+    grade = np.zeros(len(words), dtype=np.int64)
     ill = np.flatnonzero(toxic == 1)
     if len(ill):
         grade[ill] = 1 + (density[ill] > np.median(density[ill]))
@@ -55,37 +65,34 @@ def grades_of(found: list[set[str]], sizes: np.ndarray, toxic: np.ndarray) -> np
 
 
 class Ordinal:
-    """A fitted model: weights by feature, thresholds."""
+    """A fitted model: weights by place, thresholds."""
 
-    def __init__(self, weights: dict[str, float], thresholds: list[float]):
+    def __init__(self, weights: dict[int, float], thresholds: list[float]):
         self.weights, self.thresholds = weights, thresholds
-        self.cache: dict[str, float] = {}
+        self.cache: dict[str, bool] = {}
 
     @staticmethod
-    def fit(found: list[set[str]], grade: np.ndarray, n_grades: int = GRADES, n_features: int = FEATURES, steps: int = 300, l1: float = 2e-4) -> Ordinal:
+    def fit(found: list[np.ndarray], grade: np.ndarray, n_grades: int = GRADES, n_features: int = FEATURES, steps: int = 300, l1: float = 2e-4) -> Ordinal:
         n = len(found)
         if not n or grade.min() == grade.max():
             all_above = [(-1.0 if n and grade[0] > k else 1.0) * 30.0 for k in range(n_grades - 1)]
             return Ordinal({}, all_above)
         above = grade > 0
-        df = [Counter(), Counter()]
-        for f, a in zip(found, above):
-            df[int(a)].update(f)
         n1 = int(above.sum())
-
-        def chi2(f: str) -> float:
-            a, b = df[1][f], df[0][f]
-            c, d = n1 - a, n - n1 - b
-            return n * (a * d - b * c) ** 2 / max(1e-9, (a + b) * (c + d) * (a + c) * (b + d))
-
-        chosen = sorted((f for f in df[1].keys() | df[0].keys() if df[1][f] + df[0][f] >= 3), key=lambda f: (-chi2(f), f))[:n_features]
-        place = {f: i for i, f in enumerate(chosen)}
-        rows, cols = [], []
-        for i, f in enumerate(found):
-            hit = [place[x] for x in f if x in place]
-            rows += [i] * len(hit)
-            cols += sorted(hit)
-        rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+        sizes = np.array([len(f) for f in found])
+        flat = np.concatenate(found)
+        a = np.bincount(flat[np.repeat(above, sizes)], minlength=PLACES).astype(float)
+        b = np.bincount(flat[np.repeat(~above, sizes)], minlength=PLACES).astype(float)
+        c, d = n1 - a, n - n1 - b
+        chi2 = n * (a * d - b * c) ** 2 / np.maximum(1e-9, (a + b) * (c + d) * (a + c) * (b + d))
+        chi2[a + b < 3] = -1.0
+        chosen = np.argsort(-chi2, kind="stable")[:n_features]
+        chosen = chosen[chi2[chosen] > 0]
+        column = np.full(PLACES, -1, dtype=np.int64)
+        column[chosen] = np.arange(len(chosen))
+        cols = column[flat]
+        rows = np.repeat(np.arange(n), sizes)[cols >= 0]
+        cols = cols[cols >= 0]
         targets = (grade[:, None] > np.arange(n_grades - 1)[None, :]).astype(float)
         rates = np.clip(targets.mean(axis=0), 1e-3, 1 - 1e-3)
         bounds = np.log(1 / rates - 1)
@@ -104,19 +111,18 @@ class Ordinal:
             seen_w = new_w + (t - 1) / t_new * (new_w - w)
             seen_b = np.maximum.accumulate(new_b + (t - 1) / t_new * (new_b - bounds))
             w, bounds, t = new_w, new_b, t_new
-        return Ordinal({f: float(x) for f, x in zip(chosen, w) if x}, [float(b) for b in bounds])
+        return Ordinal({int(f): float(x) for f, x in zip(chosen, w) if x}, [float(b) for b in bounds])
 
-    def word_score(self, word: str) -> float:
+    def counts(self, word: str) -> bool:
         if word not in self.cache:
             if len(self.cache) >= _CACHE:
                 self.cache.clear()
-            self.cache[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
+            self.cache[word] = any(f in self.weights for f in word_features(word))
         return self.cache[word]
 
     def score(self, text: str | None) -> float:
         """x . w: each feature counts once, however many words have it."""
-        words = set(WORD.findall((text or "").lower()))
-        hot = [w for w in words if self.word_score(w)]
+        hot = [w for w in words_of(text) if self.counts(w)]
         return sum(self.weights.get(f, 0.0) for f in sorted({f for w in hot for f in word_features(w)}))
 
     def severity(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +133,18 @@ class Ordinal:
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ordinal:
     """Fit on at most ``max_train`` labelled documents; a document is toxic where its label says 1."""
-    rows = labelled_sample(docs, labels.filter(F.col("toxic").isNotNull()).select("doc_id", "toxic"), ["text"], max_train).toPandas()
-    rows = rows.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("text")
-    found = [features(t) for t in rows["text"]]
-    sizes = np.array([sum(x[0] == "=" for x in f) for f in found])
-    return Ordinal.fit(found, grades_of(found, sizes, rows["toxic"].to_numpy().astype(int)))
+    rows = labelled_sample(docs, labels.filter(F.col("toxic").isNotNull()).select("doc_id", "toxic"), ["text"], max_train)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, texts in texts_of(batch.column(1)):
+                found = [features(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, len(texts)) for c in (batch.column(0), batch.column(2))), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], ["id", "toxic", "words", "places"])
+
+    made = rows.select(F.xxhash64("doc_id", "text"), "text", F.col("toxic").cast("int")).mapInArrow(run, "id long, toxic int, words binary, places binary")
+    sample = made.toPandas().drop_duplicates("places").sort_values(["id"], kind="stable")
+    words, places = ([np.frombuffer(x, dtype=np.int32) for x in sample[c]] for c in ("words", "places"))
+    return Ordinal.fit(places, grades_of(words, sample["toxic"].to_numpy().astype(int)))
 
 
 def _score(model: Ordinal):
