@@ -258,9 +258,11 @@ def reformatted(island: Island, gold: list, rnd: random.Random) -> tuple[Island,
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> SemiMarkov:
     """Fit on islands of at most ``max_train`` documents with a digit or an at sign, chosen by hash of id and text."""
-    rows = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    lean = rows.select(F.xxhash64("text", "doc_id").alias("at"), F.regexp_extract_all("text", F.lit(r"(?:\S+\s){0,2}[^\s0-9@]{0,80}[0-9@]\S{0,80}(?:\s[^\s0-9@]{0,80}[0-9@]\S{0,80}){0,7}(?:\s\S{1,20})?"), F.lit(0)).alias("bits"))
-    few = lean.select("at", F.slice("bits", 1, 20).alias("bits")).orderBy("at").limit(max_train).toPandas()
+    rows = docs.select(F.xxhash64("text", "doc_id").alias("at"), "text").filter(F.col("text").rlike("[0-9@]"))
+    chosen = rows.select("at").distinct().orderBy("at").limit(max_train)
+    few = rows.join(F.broadcast(chosen), "at").dropDuplicates(["at"])
+    bits = F.regexp_extract_all("text", F.lit(r"(?:\S+\s){0,2}[^\s0-9@]{0,80}[0-9@]\S{0,80}(?:\s[^\s0-9@]{0,80}[0-9@]\S{0,80}){0,7}(?:\s\S{1,20})?"), F.lit(0))
+    few = few.select("at", F.slice(bits, 1, 20).alias("bits")).toPandas()
     rnd = random.Random(7)
     samples: list = []
     seen: set[str] = set()
