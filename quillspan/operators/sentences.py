@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillspan.config import NO_TEXT, Settings
 from quillspan.functions.text import HEADINGS, SENTENCE_END, lstrip, strip
 
-BY_DOC = Window.partitionBy("doc_id").orderBy("pos")
-BEFORE = BY_DOC.rowsBetween(Window.unboundedPreceding, -1)
+
+def _by_doc():
+    return Window.partitionBy("doc_id").orderBy("pos")
 
 
 def split_sentences(docs: DataFrame, cfg: Settings = Settings(), splitter: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -28,14 +29,14 @@ def split_sentences(docs: DataFrame, cfg: Settings = Settings(), splitter: Calla
         "doc_id", "text", F.posexplode(F.arrays_zip(F.split("text", SENTENCE_END).alias("raw"), F.regexp_extract_all("text", F.lit(SENTENCE_END), F.lit(0)).alias("gap"))).alias("pos", "p")
     )
     raw, gap = F.col("p.raw"), F.coalesce(F.length("p.gap"), F.lit(0))
-    at = F.coalesce(F.sum(F.length(raw) + gap).over(BEFORE), F.lit(0))
+    at = F.coalesce(F.sum(F.length(raw) + gap).over(_by_doc().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = parts.select("doc_id", "pos", strip(raw).alias("sent"), (at + F.length(raw) - F.length(lstrip(raw))).cast("int").alias("char_start"))
     return _or_default(docs, found.filter(F.length("sent") > cfg.min_sentence))
 
 
 def _or_default(docs: DataFrame, kept: DataFrame) -> DataFrame:
     whole = docs.select("doc_id", strip(F.coalesce(F.col("text"), F.lit(""))).alias("stripped"), (F.length(F.coalesce("text", F.lit(""))) - F.length(lstrip(F.coalesce("text", F.lit(""))))).alias("lead"))
-    counted = kept.select("doc_id", (F.row_number().over(BY_DOC) - 1).alias("sent_idx"), "sent", "char_start")
+    counted = kept.select("doc_id", (F.row_number().over(_by_doc()) - 1).alias("sent_idx"), "sent", "char_start")
     default = whole.join(kept.select("doc_id").distinct(), "doc_id", "left_anti").select(
         "doc_id", F.lit(0).alias("sent_idx"), F.when(F.col("stripped") == "", NO_TEXT).otherwise(F.col("stripped")).alias("sent"), F.when(F.col("stripped") == "", 0).otherwise(F.col("lead")).cast("int").alias("char_start")
     )
