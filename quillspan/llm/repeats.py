@@ -29,6 +29,8 @@ BATCHES = 4
 #: Lengths of the runs into which undecided runs of starts are split, in turn.
 RUNS = (16, 1)
 KEY = ["k", "h"]
+#: A suffix that more than one in so many equals is hot.
+HOT_SHARE = 1000
 
 
 def _suffixes(match: int):
@@ -110,7 +112,8 @@ class SuffixFamily:
         merged = self.scratch.write(merged.sortWithinPartitions("key"))
         for level in self.levels[i:]:
             if level is not None:
-                self.hits.append(self.scratch.write(merged.join(level.select("key"), "key", "left_semi").select("key")))
+                met = merged.join(level.withColumnRenamed("n", "m"), "key").select("key", (F.col("n") + F.col("m")).alias("n"))
+                self.hits.append(self.scratch.write(met))
         for j in range(i):
             self.scratch.drop(self.levels[j])
             self.levels[j] = None
@@ -118,11 +121,11 @@ class SuffixFamily:
         self.levels[i] = merged
 
     def repeated(self) -> DataFrame:
-        """Fingerprints that more than one suffix has, each once."""
+        """key, n of fingerprints that more than one suffix has, each once; n suffixes at least have it."""
         found = None
-        for part in [level.filter("n > 1").select("key") for level in self.levels if level is not None] + self.hits:
+        for part in [level.filter("n > 1") for level in self.levels if level is not None] + self.hits:
             found = part if found is None else found.union(part)
-        return found.distinct()
+        return found.groupBy("key").agg(F.max("n").alias("n"))
 
 
 def _settle(rows: DataFrame, scratch: Scratch, last: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -153,7 +156,11 @@ def repeated_spans(docs: DataFrame, match: int = MATCH, batches: int = BATCHES)
     family = SuffixFamily(scratch)
     for i in range(batches):
         family.add(suffixes.filter(F.col("batch") == i).select("key"))
-    listed = suffixes.join(family.repeated(), "key", "left_semi").groupBy(*KEY).agg(F.collect_set("at").alias("want"))
+    repeated = scratch.write(family.repeated())
+    # fewer than HOT_SHARE keys can have so many suffixes, so these are broadcast, and only the others are dealt by key
+    hot = F.broadcast(repeated.filter(F.col("n") * HOT_SHARE > suffixes.count()).select("key"))
+    cold = suffixes.join(hot, "key", "left_anti").join(repeated.select("key"), "key", "left_semi")
+    listed = cold.unionByName(suffixes.join(hot, "key", "left_semi")).groupBy(*KEY).agg(F.collect_set("at").alias("want"))
     hits, most, found = [], 0, listed
     for nth, following in enumerate((*RUNS, None)):
         runs = scratch.write(rows.join(found.hint("shuffle_hash"), KEY).mapInArrow(_runs(match, most), "core long, x1 long, x2 long, k long, h long, lo long, hi long, at long"))
