@@ -51,8 +51,7 @@ def lstrip(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased word tokens of two characters or more, stop words left out, repeats kept."""
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), lambda t: ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def blank(c: Column) -> Column:

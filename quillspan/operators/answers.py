@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.config import Settings
-from quillspan.functions.text import LOOSE_END, lstrip, strip
+from quillspan.functions.text import LOOSE_END, let, lstrip, strip
 from quillspan.operators.scoring import cosines, term_counts
 
 
@@ -17,7 +17,7 @@ def fallback_answers(contexts: DataFrame, question_terms: DataFrame, cfg: Settin
     any term in question and context, the first 120 characters with confidence 0.5.
     """
     kept = F.filter(F.transform(F.split("context", LOOSE_END), strip), lambda s: F.length(s) > cfg.min_answer_sentence)
-    held = contexts.select("doc_id", "q_id", "context", F.when(F.size(kept) > 0, kept).otherwise(F.array("context")).alias("sents"))
+    held = contexts.select("doc_id", "q_id", "context", let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(F.array("context"))).alias("sents"))
     units = held.select("doc_id", "q_id", F.posexplode("sents").alias("pos", "sent"))
     terms = term_counts(units, ["doc_id", "q_id", "pos"], "sent")
     counts = held.select("doc_id", "q_id", F.size("sents").alias("n"))
