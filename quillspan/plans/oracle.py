@@ -124,7 +124,53 @@ scored AS (SELECT u.doc_id, u.sent_idx, NOT failed AND g <> '' AND strpos(lower(
   CASE WHEN failed THEN 0.0 WHEN p = g THEN CASE WHEN p <> '' THEN 1.0 ELSE 0.0 END WHEN p = '' OR g = '' OR coalesce(s.n, 0) = 0 THEN 0.0 ELSE 2.0 * (s.n / len(pt)) * (s.n / len(gt)) / (s.n / len(pt) + s.n / len(gt)) END AS f1
   FROM used u LEFT JOIN same s ON s.doc_id = u.doc_id AND s.sent_idx = u.sent_idx)"""
 
+_GROUNDED = (
+    f"WITH {_WORDS}, {_OFFSETS},\n"
+    + _ask("fast", _PAGED_TEXT).removeprefix("WITH ")
+    + """, starts AS (SELECT doc_id, page, min(char_start) AS st FROM offs WHERE page < 25 GROUP BY ALL),
+sp AS (SELECT s.doc_id, s.sent_idx, coalesce(p.page, 0) AS page FROM sents s ASOF LEFT JOIN starts p ON s.doc_id = p.doc_id AND s.char_start >= p.st),
+spots AS (SELECT doc_id, q_id, strpos(ctx, ans) - 1 AS c, length(ans) AS n_ans FROM answered),
+laid AS (SELECT *, coalesce(sum(length(win) + 1) OVER (PARTITION BY doc_id, q_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws FROM fast),
+hits_w AS (SELECT l.doc_id, l.q_id, l.win_id, a.c, a.n_ans, a.c - l.ws AS pos, row_number() OVER (PARTITION BY l.doc_id, l.q_id ORDER BY CASE WHEN l.ws <= a.c AND a.c < l.ws + length(l.win) THEN l.nth ELSE 1000 - l.nth END) AS rk
+  FROM laid l JOIN spots a ON a.doc_id = l.doc_id AND a.q_id = l.q_id)
+SELECT h.doc_id, h.q_id, h.c AS char_start, h.c + h.n_ans AS char_end, sp.page AS page_number FROM hits_w h JOIN wins w ON w.doc_id = h.doc_id AND w.win_id = h.win_id
+JOIN sp ON sp.doc_id = h.doc_id AND sp.sent_idx = w.k + CASE WHEN w.n < 3 THEN 0 WHEN h.pos >= length(s0) + length(s1) + 2 THEN 2 WHEN h.pos >= length(s0) + 1 THEN 1 ELSE 0 END WHERE h.rk = 1"""
+)
+#: The derived word boxes; their rows are far apart, so a fold over a page finds just the rows they were laid out in.
+_BOXES = f"""WITH {_WORDS},
+cells AS (SELECT doc_id, page, ord AS seq, word, doc_id % 2 = 1 AS two, ord % 300 AS i FROM words),
+geo AS (SELECT doc_id, page, seq, word, CASE WHEN two THEN i % 150 // 5 ELSE i // 10 END AS row_id,
+  CASE WHEN two THEN (i % 150 % 5 + i // 150 * 5) * 30.0 + i // 150 * 60.0 ELSE i % 10 * 30.0 END AS x0 FROM cells),
+placed_w AS (SELECT *, x0 + 25.0 AS x1, row_id * 14.0 + seq % 3 * 0.5 AS y0 FROM geo),
+gaps AS (SELECT *, lead(x0) OVER (PARTITION BY doc_id, page, row_id ORDER BY x0, seq) - x1 AS gap FROM placed_w),
+limits AS (SELECT doc_id, page, greatest(list_sort(list(gap))[len(list(gap)) // 2 + 1] * 4.0, 12.0) AS lim FROM gaps WHERE gap > 0 GROUP BY ALL),
+wide_rows AS (SELECT doc_id, page, row_id, max(gap) AS gap, arg_max(x1, gap * 10000 - x1) AS x1 FROM gaps WHERE gap > 0 GROUP BY ALL),
+eligible AS (SELECT doc_id, page, row_id FROM placed_w GROUP BY ALL HAVING count(*) >= 2),
+centres AS (SELECT e.doc_id, e.page, CASE WHEN w.gap >= l.lim THEN w.x1 + w.gap / 2 END AS c FROM eligible e LEFT JOIN wide_rows w ON w.doc_id = e.doc_id AND w.page = e.page AND w.row_id = e.row_id LEFT JOIN limits l ON l.doc_id = e.doc_id AND l.page = e.page),
+mids AS (SELECT doc_id, page, count(*) AS n, list_sort(list(c) FILTER (c IS NOT NULL))[count(c) // 2 + 1] AS mid FROM centres GROUP BY ALL),
+found_g AS (SELECT c.doc_id, c.page, CASE WHEN m.n >= 3 AND count(c.c) FILTER (abs(c.c - m.mid) <= 20.0) / m.n >= 0.5 THEN avg(c.c) FILTER (abs(c.c - m.mid) <= 20.0) END AS gutter
+  FROM centres c JOIN mids m ON m.doc_id = c.doc_id AND m.page = c.page GROUP BY c.doc_id, c.page, m.n),
+pages_g AS (SELECT p.doc_id, p.page, g.gutter FROM (SELECT DISTINCT doc_id, page FROM placed_w) p LEFT JOIN found_g g ON g.doc_id = p.doc_id AND g.page = p.page)
+"""
+
 SQL: dict[str, str] = {
+    "page_grounding": _GROUNDED,
+    "row_clusters": _BOXES + "SELECT doc_id, page, seq, row_id FROM placed_w",
+    "gutter_gaps": _BOXES + "SELECT doc_id, page, count(*) AS n_gaps, max(gap) AS widest, list_sort(list(gap))[count(*) // 2 + 1] AS median_gap FROM gaps WHERE gap > 0 GROUP BY ALL",
+    "gutters": _BOXES + "SELECT doc_id, page, gutter FROM pages_g",
+    "column_reorder": _BOXES + """SELECT doc_id, page, md5(txt) AS text_md5, length(txt) AS n_chars FROM (SELECT w.doc_id, w.page, string_agg(word, ' ' ORDER BY coalesce(x0 >= gutter, false), y0, x0, seq) AS txt
+  FROM placed_w w JOIN pages_g g ON g.doc_id = w.doc_id AND g.page = w.page WHERE w.page < 25 GROUP BY ALL)""",
+    "span_decode": r"""WITH base AS (SELECT doc_id, q_id, substr(text, 1, 120) AS ctx, doc_id * 31 + q_id * 17 AS seed FROM documents CROSS JOIN (SELECT item_id AS q_id FROM benchmark) WHERE length(text) > 0),
+tok AS (SELECT doc_id, q_id, i, ((seed * 3 + i * (i + 5) * 7) % 64 - 40) / 8.0 AS s, ((seed * 5 + i * (i + 11) * 7) % 64 - 40) / 8.0 AS e FROM base CROSS JOIN (SELECT unnest(range(24)) AS i)),
+tops AS (SELECT doc_id, q_id, max(s) AS ms, max(e) AS me, max(s + e) FILTER (i = 0) AS null_score FROM tok GROUP BY ALL),
+sums AS (SELECT t.doc_id, t.q_id, sum(exp(t.s - m.ms)) AS ss, sum(exp(t.e - m.me)) AS se FROM tok t JOIN tops m ON m.doc_id = t.doc_id AND m.q_id = t.q_id GROUP BY ALL),
+ranked_p AS (SELECT a.doc_id, a.q_id, a.i, b.i AS j, a.s, b.e, row_number() OVER (PARTITION BY a.doc_id, a.q_id ORDER BY a.s + b.e DESC, a.i, b.i) AS rk
+  FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.q_id = a.q_id AND b.i BETWEEN a.i AND a.i + 29 WHERE a.i BETWEEN 6 AND 22 AND b.i <= 22),
+cut_s AS (SELECT p.*, m.null_score, round(exp(p.s - m.ms) / u.ss * (exp(p.e - m.me) / u.se), 4) AS confidence, least((p.i - 6) * 7, length(ctx)) AS st, least((p.j - 6) * 7 + 7, length(ctx)) AS en, ctx
+  FROM ranked_p p JOIN tops m ON m.doc_id = p.doc_id AND m.q_id = p.q_id JOIN sums u ON u.doc_id = p.doc_id AND u.q_id = p.q_id JOIN base b ON b.doc_id = p.doc_id AND b.q_id = p.q_id WHERE rk = 1),
+raws AS (SELECT *, CASE WHEN en > st THEN substr(ctx, st + 1, en - st) ELSE '' END AS raw FROM cut_s)
+SELECT doc_id, q_id, i, j, s + e AS best, null_score, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS answer, st + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS char_start,
+en - (length(raw) - length(regexp_replace(raw, '\s+$', ''))) AS char_end, confidence, regexp_replace(raw, '^\s+|\s+$', '', 'g') <> '' AS found, s + e >= null_score AND confidence >= 0.05 AS accepted FROM raws""",
     "sentences": _base() + "SELECT doc_id, sent_idx, sent, char_start FROM sents",
     "windows": _base(_WINDOWS) + "SELECT doc_id, win_id, win AS window, CASE WHEN n < 3 THEN 1 ELSE 3 END AS n_sents, k AS first_sent, CASE WHEN n < 3 THEN 0 ELSE length(s0) + length(s1) + 2 END AS last_ws, length(win) AS last_we FROM wins",
     "tfidf_scores": _base(_WINDOWS, _SCORES) + "SELECT doc_id, q_id, u AS win_id, score FROM sc",
