@@ -42,7 +42,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, r"^\s+|(?<!\s)\s+$", "")
 
 
 def lstrip(c: Column) -> Column:

@@ -71,7 +71,7 @@ def decode_spans(rows: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     raw = F.when(F.col("e") > F.col("s"), F.substring("context", F.col("s") + 1, F.col("e") - F.col("s"))).otherwise("")
     found = found.withColumn("raw", raw)
     start = F.col("s") + F.length("raw") - F.length(lstrip(F.col("raw")))
-    end = F.col("e") - (F.length("raw") - F.length(F.regexp_replace("raw", r"\s+$", "")))
+    end = F.col("e") - (F.length("raw") - F.length(F.regexp_replace("raw", r"(?<!\s)\s+$", "")))
     accepted = F.col("best").isNotNull() & (F.col("best") >= F.col("null_score")) & (F.col("confidence") >= cfg.min_confidence)
     answer = strip(F.col("raw"))
     return found.select("doc_id", "q_id", "i", "j", "best", "null_score", answer.alias("answer"), start.alias("char_start"), end.alias("char_end"), "confidence", (answer != "").alias("found"), F.coalesce(accepted, F.lit(False)).alias("accepted"))
