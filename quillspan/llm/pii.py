@@ -40,7 +40,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
-_ISLAND = re.compile(r"[^\s0-9@]*[0-9@]\S*(?:\s[^\s0-9@]*[0-9@]\S*)*")
+# an island begins where a piece begins, and no character is given back, so that long pieces take linear time
+_ISLAND = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\s[^\s0-9@]*+[0-9@]\S*+)*+")
 _PIECE = re.compile(r"\S+")
 _OPENERS, _CLOSERS = "\"'<[{*_,;:!?.", "\"'>]}*_,;:!?.$%&#"
 Span = tuple[int, int, str]
@@ -261,7 +262,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> SemiMarkov:
     rows = docs.select(F.xxhash64("text", "doc_id").alias("at"), "text").filter(F.col("text").rlike("[0-9@]"))
     chosen = rows.select("at").distinct().orderBy("at").limit(max_train)
     few = rows.join(F.broadcast(chosen), "at").dropDuplicates(["at"])
-    bits = F.regexp_extract_all("text", F.lit(r"(?:\S+\s){0,2}[^\s0-9@]{0,80}[0-9@]\S{0,80}(?:\s[^\s0-9@]{0,80}[0-9@]\S{0,80}){0,7}(?:\s\S{1,20})?"), F.lit(0))
+    bits = F.regexp_extract_all("text", F.lit(r"(?:\S{1,40}\s){0,2}[^\s0-9@]{0,80}[0-9@]\S{0,80}(?:\s[^\s0-9@]{0,80}[0-9@]\S{0,80}){0,7}(?:\s\S{1,20})?"), F.lit(0))
     few = few.select("at", F.slice(bits, 1, 20).alias("bits")).toPandas()
     rnd = random.Random(7)
     samples: list = []

@@ -46,6 +46,7 @@ def test_patterns_against_plain_regexes():
         assert base_spans(t) == slow(t), t
     for t in texts(200, 3):
         assert base_spans(t) == slow(t)
+    assert len(list(islands("x" * 300_000 + " a1 " + "y" * 300_000))) == 1
     assert base_spans("1" * 200_000 + "a" * 200_000 + "@" * 1000 + "1." * 50_000) is not None
 
 
