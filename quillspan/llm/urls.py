@@ -1,8 +1,9 @@
 """URL filter: listed rules, and association rules that FP-growth mines from labelled URLs.
 
 A URL is a set of tokens: scheme, host suffixes, path words, extension, query keys, fragment.  Numbers
-are one token, so that URLs share tokens.  FP-growth runs over token sets with a label token; rules whose
-consequent is the bad label are kept if support, confidence and lift reach their bounds and no rule with
+are one token, so that URLs share tokens.  A long token keeps its first characters and ends in the hash of
+the whole, so that its size is bounded and distinct tokens stay distinct.  FP-growth runs over token sets
+with a label token, without tokens too rare among bad URLs to be in any rule; rules whose consequent is the bad label are kept if support, confidence and lift reach their bounds and no rule with
 fewer tokens is as confident.  An inverted index from tokens to rules matches a URL.
 """
 
@@ -13,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,10 @@ LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com
 MAX_TRAIN = 20_000
 MAX_RULES = 10_000
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.5, 1.2
+#: Characters of a token that is kept as it is.
+MAX_TOKEN = 64
+#: Tokens of a labelled URL that rules are mined from, at most (those that most often are in bad ones); matching takes all.
+MAX_ITEMS = 24
 BAD, GOOD = "=bad", "=good"
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORDS = re.compile(r"[^/._-]+")
@@ -49,23 +55,30 @@ def listed_rule(host: str, path: str, listed=LISTED) -> tuple[str, str] | None:
     return max(fits)[1:] if fits else None
 
 
+def bounded(token: str) -> str:
+    """A token as it is, or if it is long, its beginning and the hash of the whole of it."""
+    if len(token) <= MAX_TOKEN:
+        return token
+    return token[: MAX_TOKEN // 2] + "#" + xxhash.xxh3_128_hexdigest(token.encode("utf-8", "surrogatepass"))
+
+
 def tokens(url: str | None) -> list[str]:
-    """Distinct tokens of a URL, sorted; none for null or a blank one."""
+    """Distinct tokens of the whole URL, sorted; none for null or a blank one."""
     if not url or not url.strip():
         return []
     host, path = parts(url)
-    found = {"s:" + url.partition("://")[0][:16].lower()} if "://" in url else set()
+    found = {"s:" + url.partition("://")[0].lower()} if "://" in url else set()
     labels = host.partition(":")[0].split(".") if host else []
     found |= {"h:" + ".".join(labels[i:]) for i in range(len(labels))}
     if len(labels) > 2:
         found.add("l:" + labels[0])
-    found |= {"p:" + ("9" if w.isdigit() else w.lower()[:32]) for w in _WORDS.findall(path)[:12]}
+    found |= {"p:" + ("9" if w.isdigit() else w.lower()) for w in _WORDS.findall(path)}
     tail = url.partition("://")[2][len(host) + len(path) :]
     query, _, fragment = tail.partition("#")
-    found |= {"q:" + pair.partition("=")[0][:32] for pair in query[1:].split("&")[:8] if pair}
+    found |= {"q:" + pair.partition("=")[0] for pair in query[1:].split("&") if pair}
     if fragment:
-        found.add("f:" + fragment[:32])
-    return sorted(found)
+        found.add("f:" + fragment)
+    return sorted(set(map(bounded, found)))
 
 
 def prune(rules: list[Rule]) -> list[Rule]:
@@ -88,8 +101,18 @@ def mine(pages: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, suppor
             yield pa.RecordBatch.from_arrays([pa.array([[*tokens(u), BAD if b else GOOD] for u, b in zip(*(c.to_pylist() for c in batch.columns))], pa.list_(pa.string()))], ["items"])
 
     items = rows.select("url", F.col("bad").cast("int")).mapInArrow(run, schema)
-    if items.isEmpty():
+    n = items.count()
+    if not n:
         return []
+    seen = items.select(F.explode("items").alias("token"), F.array_contains("items", BAD).alias("bad")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"))
+    rank = {r["token"]: (-r["n_bad"] / r["n"], -r["n"], r["token"]) for r in seen.filter(F.col("n_bad") >= support * n - 1e-9).collect()}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [[*sorted((t for t in x if t in rank and t != BAD), key=rank.get)[:MAX_ITEMS], BAD if BAD in x else GOOD] for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.string()))], ["items"])
+
+    items = items.mapInArrow(cut, schema)
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     found = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= lift) & ~F.array_contains("antecedent", GOOD))
     return prune([(frozenset(r["antecedent"]), r["confidence"]) for r in found.select("antecedent", "confidence").collect()])

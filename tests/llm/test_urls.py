@@ -58,3 +58,18 @@ def test_odd_rows(spark):
     assert mine(pages, spark.createDataFrame([], "doc_id long, bad int")) == []
     assert judge(pages.limit(0), []).collect() == []
     assert RuleIndex([(frozenset({"a", "b"}), 1.0)]).fired(["a"]) == []
+
+
+def test_whole_urls_are_matched(spark):
+    deep = "https://a.org/" + "/".join(f"w{i}" for i in range(40)) + "/evil"
+    keys = "https://a.org/x?" + "&".join(f"k{i}=1" for i in range(40)) + "&evil=1"
+    long = ["https://a.org/" + "x" * 100 + end for end in "ab"]
+    assert "p:evil" in tokens(deep) and "q:evil" in tokens(keys)
+    assert tokens(long[0]) != tokens(long[1]) and max(map(len, tokens("https://a.org/" + "x" * 10_000))) < 100
+    assert len({*map(str, map(tokens, ("https://a.org/#" + "f" * 50 + e for e in "ab")))}) == 2
+    rules = [(frozenset({"p:evil"}), 0.9), (frozenset({"q:evil"}), 0.8)]
+    pages = spark.createDataFrame([(1, deep, "z"), (2, keys, "z"), (3, long[0], "z")], SCHEMA)
+    assert sorted((r.page_id, r.verdict, r.confidence) for r in judge(pages, rules, ()).collect()) == [(1, "block", 0.9), (2, "block", 0.8), (3, "allow", None)]
+    rows = [(i, "https://a.org/" + "/".join(f"w{i}x{k}" for k in range(14)) + ("/evil" if i % 2 else "/good"), i % 2) for i in range(20)]
+    pages = spark.createDataFrame([(i, u, "z") for i, u, _ in rows], SCHEMA)
+    assert frozenset({"p:evil"}) in dict(mine(pages, spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, bad int"), support=0.3))
