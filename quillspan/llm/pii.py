@@ -1,34 +1,44 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds what they miss.
 
-Text is cut at white space.  Maximal runs of adjoining pieces that hold a digit or an at sign are
-islands; everything else belongs to no entity.  A segment is up to ``REACH`` pieces of an island, its
-outer punctuation left out, and carries features of the span as a whole: shape, digit count, check sum,
-separators, the words before it.  The best segmentation of an island is found by dynamic programming
-over all boundaries and types at once, with at most ``MOST`` entities' worth of state bounded by
-``REACH``.  The weights are fitted by gradient ascent on the exact conditional likelihood, from islands of
-the corpus that the fixed patterns label and from reformatted copies of them, on a bounded sample.
+Text is cut at white space, quotes and equals signs.  Maximal runs of adjoining pieces that hold a digit
+or an at sign, lone separators between them included, are islands; everything else belongs to no entity.
+A segment is up to ``REACH`` pieces of an island, its outer punctuation left out, and carries features of
+the span as a whole: shape, digit count, check sum, separators, changes between letters and digits, the
+word before it.  The best segmentation of an island is found by dynamic programming over all boundaries
+and types at once; a segment has at most ``REACH`` pieces, so the work is linear in the pieces.
+
+The weights are fitted by gradient ascent on the exact conditional likelihood, from islands of the whole
+corpus that the fixed patterns (and for secrets, which have no fixed pattern, a strict rule: ``surely_secret``)
+label, and from reformatted copies of them.  Of each label, the ``MAX_ISLANDS`` distinct islands with the
+smallest hashes are taken.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import random
+import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.llm.common import texts_of
 
-KINDS = ("email", "ip", "card", "phone")
-REACH = 6
-#: Documents whose islands the model is fitted on, at most, and islands, at most.
-MAX_TRAIN = 6_000
-MAX_ISLANDS = 2_000
+#: Kinds of entities; the fixed patterns know all but the last.
+KINDS = ("email", "ip", "card", "phone", "secret")
+REACH = 8
+#: Labelled islands of each kind, and of none, that the model is fitted on, at most.
+MAX_ISLANDS = 400
+#: Pieces of an island that the model is fitted on, at most; longer ones are only searched.
+MAX_PIECES = 12
+#: Characters before an island among which its cue, the last word, is looked for.
+BEFORE = 24
 #: An added span must beat the best reading without entities by so much (log odds).
 MARGIN = 2.0
 
@@ -41,8 +51,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 # an island begins where a piece begins, and no character is given back, so that long pieces take linear time
-_ISLAND = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\s[^\s0-9@]*+[0-9@]\S*+)*+")
-_PIECE = re.compile(r"\S+")
+_ISLAND = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\s++(?:[^\s\w]{1,3}\s++)?+[^\s0-9@]*+[0-9@]\S*+)*+")
+_PIECE = re.compile(r"[^\s='\"]+")
+_SECRET = re.compile(r"[A-Za-z0-9_+/-]{16,}")
+_TURN = re.compile(r"[0-9](?=[^\W\d_])|[^\W\d_](?=[0-9])")
+_SECRET_CUES = ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential")
 _OPENERS, _CLOSERS = "\"'<[{*_,;:!?.", "\"'>]}*_,;:!?.$%&#"
 Span = tuple[int, int, str]
 
@@ -70,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
         at = text.find("@", max(done, at + 1))
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
                 found.append((m.start(), m.end(), "ip"))
         for m in _CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m[0]) if m.end() - m.start() <= 40 else ""
@@ -88,8 +101,8 @@ class Island:
     def __init__(self, text: str, start: int, end: int):
         self.text = text
         self.pieces = [(m.start(), m.end()) for m in _PIECE.finditer(text, start, end)]
-        before = text[max(0, start - 24) : start].split()
-        self.cue = re.sub(r"\W", "", before[-1].lower())[:6] if before else ""
+        before = re.findall(r"\w+", text[max(0, start - BEFORE) : start])
+        self.cue = before[-1].lower()[:10] if before else ""
 
     def bounds(self, i: int, j: int) -> tuple[int, int]:
         start, end = self.pieces[i][0], self.pieces[j - 1][1]
@@ -99,21 +112,37 @@ class Island:
             end -= 1
         return start, end
 
+    def places(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Segments by their bounds."""
+        n = len(self.pieces)
+        return {self.bounds(i, j): (i, j) for i in range(n) for j in range(i + 1, min(n, i + REACH) + 1)}
+
+    def cue_of(self, i: int) -> str:
+        """The word before piece i: in the island if there is one, else before it."""
+        if not i:
+            return self.cue
+        word = self.text[slice(*self.pieces[i - 1])]
+        return word.lower()[:10] if word.isalpha() else "-"
+
     def features(self, i: int, j: int) -> list[str] | None:
         """Of the segment of pieces i to j - 1; None if it cannot be an entity."""
         start, end = self.bounds(i, j)
         span = self.text[start:end]
-        if not 6 <= len(span) <= 80:
+        if not 6 <= len(span) <= 160:
             return None
         digits = _NOT_DIGIT.sub("", span)
-        if len(digits) > 24:
+        turns = sum(1 for _ in _TURN.finditer(span))
+        if len(digits) > 24 and not turns:
             return None
         shape = re.sub(r"[^\W\d_]+", "a", _DIGITS.sub("9", span))
         runs = re.sub(r"9+", lambda m: str(min(len(m[0]), 5)) if len(m[0]) < 5 else "N", shape)
         parts = span.split(".")
         octets = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
         return [
-            f"n{len(digits)}",
+            f"n{min(len(digits), 25)}",
+            f"size{min(6, len(span) // 8)}",
+            f"turns{min(4, turns // 3)}",
+            f"solid{bool(_SECRET.fullmatch(span))}",
             f"long{min(4, len(digits) // 4)}",
             f"letters{bool(re.search(r'[^\W\d_]', span))}",
             f"at{min(2, span.count('@'))}",
@@ -127,7 +156,8 @@ class Island:
             f"other{bool(re.search(r'[^\w\s.@()+-]', span))}",
             f"pieces{j - i}",
             f"runs{re.sub(r'[^0-9N]+', '.', runs)[:12]}" if "a" not in shape else "runsa",
-            f"cue{self.cue}" if i == 0 else "cue-",
+            f"cue{(cue := self.cue_of(i))}",
+            f"tells{cue.endswith(_SECRET_CUES)}",
             "bias",
         ]
 
@@ -220,66 +250,115 @@ class SemiMarkov:
         return SemiMarkov({(kind, f): float(w[i, k]) for f, i in place.items() for k, kind in enumerate(KINDS)})
 
 
+def surely_secret(island: Island, i: int) -> bool:
+    """Whether piece i is a long solid string of letters and digits in turn, and the word before it says so."""
+    start, end = island.bounds(i, i + 1)
+    span = island.text[start:end]
+    return bool(_SECRET.fullmatch(span)) and sum(1 for _ in _TURN.finditer(span)) >= 6 and island.cue_of(i).endswith(_SECRET_CUES)
+
+
 def labelled(island: Island, spans: list[Span]) -> list[tuple[int, int, str]] | None:
-    """Spans as segments of an island; None if one of them is not a segment."""
-    out = []
+    """Spans of a text as segments of an island, and its sure secrets; None if a span of the island is not a segment."""
+    place = island.places()
     lo, hi = island.pieces[0][0], island.pieces[-1][1]
+    out = []
     for start, end, kind in spans:
         if lo <= start < hi:
-            fits = [(i, j) for i in range(len(island.pieces)) for j in range(i + 1, min(len(island.pieces), i + REACH) + 1) if island.bounds(i, j) == (start, end)]
-            if not fits:
+            if (start, end) not in place:
                 return None
-            out.append((*fits[0], kind))
-    return out
+            out.append((*place[start, end], kind))
+    taken = {k for i, j, _ in out for k in range(i, j)}
+    out += [(i, i + 1, "secret") for i in range(len(island.pieces)) if i not in taken and surely_secret(island, i)]
+    return sorted(out)
 
 
 def reformatted(island: Island, gold: list, rnd: random.Random) -> tuple[Island, list] | None:
-    """A copy with one entity written as the fixed patterns do not know it, by the same number of pieces."""
-    if len(gold) != 1 or len(island.pieces) != gold[0][1] - gold[0][0]:
+    """A copy with its one entity written as the fixed patterns do not know it; None if that is no segment of it."""
+    if len(gold) != 1:
         return None
     kind = gold[0][2]
     start, end = island.bounds(gold[0][0], gold[0][1])
     span = island.text[start:end]
+    before = island.text[max(0, start - BEFORE) : start]
     if kind == "phone":
-        new = rnd.choice([span.lstrip("+"), re.sub(r"[ ().-]+", "-", span.lstrip("+")), re.sub(r"[ ()-]+", ".", span.lstrip("+")).strip(".")])
+        plain = span.lstrip("+")
+        new = rnd.choice([plain, re.sub(r"[ ().-]+", "-", plain), re.sub(r"[ ()-]+", ".", plain).strip("."), plain.replace(" ", "  "), plain.replace("-", " - ")])
     elif kind == "card":
         d = _NOT_DIGIT.sub("", span)
-        new = rnd.choice([".".join(d[i : i + 4] for i in range(0, len(d), 4)), d[:-1] + str((int(d[-1]) + 1 + rnd.randrange(9)) % 10)])
+        new = rnd.choice([".", " - ", "  "]).join(d[i : i + 4] for i in range(0, len(d), 4))
     elif kind == "email":
         new = span.replace(".", "..", 1) if rnd.random() < 0.3 else span.lower()
+    elif kind == "secret":
+        letters = rnd.choice(["abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+        new = rnd.choice(["sk-", "", ""]) + "".join(rnd.choice(rnd.choice(["0123456789", letters])) for _ in range(rnd.randrange(20, 64)))
+        before = rnd.choice([before, "the ", "key: "])
     else:
         new = span
-    text = island.text[max(0, start - 24) : start] + new + island.text[end : end + 8]
+    text = before + new + island.text[end : end + 8]
     for other in islands(text):
-        got = other.bounds(0, len(other.pieces))
-        if text[got[0] : got[1]] == new.strip(_OPENERS):
-            return other, [(0, len(other.pieces), kind)]
+        place = other.places().get((len(before), len(before) + len(new)))
+        if place and len(other.pieces) == len(island.pieces) - (gold[0][1] - gold[0][0]) + place[1] - place[0]:
+            return other, [(*place, kind)]
     return None
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> SemiMarkov:
-    """Fit on islands of at most ``max_train`` documents with a digit or an at sign, chosen by hash of id and text."""
-    rows = docs.select(F.xxhash64("text", "doc_id").alias("at"), "text").filter(F.col("text").rlike("[0-9@]"))
-    chosen = rows.select("at").distinct().orderBy("at").limit(max_train)
-    few = rows.join(F.broadcast(chosen), "at").dropDuplicates(["at"])
-    bits = F.regexp_extract_all("text", F.lit(r"(?:\S{1,40}\s){0,2}[^\s0-9@]{0,80}[0-9@]\S{0,80}(?:\s[^\s0-9@]{0,80}[0-9@]\S{0,80}){0,7}(?:\s\S{1,20})?"), F.lit(0))
-    few = few.select("at", F.slice(bits, 1, 20).alias("bits")).toPandas()
+def _drawn(most: int):
+    """Of each label, the islands of a task with the smallest hashes: label, at, text, lead, gold (flat)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, tuple]] = defaultdict(dict)
+        for batch in batches:
+            for _, texts in texts_of(batch.column(0)):
+                for text in texts:
+                    for label, at, row in _labelled_islands(text) if text else ():
+                        rows = held[label]
+                        rows[at] = row
+                        if len(rows) >= 4 * most:
+                            held[label] = {k: rows[k] for k in sorted(rows)[:most]}
+        out = [(label, at, *rows[at]) for label, rows in held.items() for at in sorted(rows)[:most]]
+        if out:
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["label", "at", "text", "lead", "gold"])
+
+    return run
+
+
+def _labelled_islands(text: str) -> Iterator[tuple[str, int, tuple]]:
+    spans, nth = None, 0
+    for island in islands(text):
+        if len(island.pieces) > MAX_PIECES:
+            continue
+        if spans is None:
+            spans = base_spans(text)
+        lo, hi = island.pieces[0][0], island.pieces[-1][1]
+        while nth < len(spans) and spans[nth][0] < lo:
+            nth += 1
+        end = bisect_left(spans, hi, nth, key=lambda s: s[0])
+        gold = labelled(island, spans[nth:end])
+        if gold is not None:
+            first = max(0, lo - BEFORE)
+            snippet = text[first : hi + 8]
+            at = xxhash.xxh64_intdigest(snippet.encode("utf-8", "surrogatepass")) - (1 << 63)
+            flat = [x for i, j, kind in gold for x in (i, j, KINDS.index(kind))]
+            yield gold[0][2] if gold else "none", at, (snippet, lo - first, flat)
+
+
+def fit(docs: DataFrame, most: int = MAX_ISLANDS) -> SemiMarkov:
+    """Fit on at most ``most`` distinct islands of each label, by hash, out of all islands of all documents."""
+    rows = docs.filter(F.col("text").rlike("[0-9@]")).select("text").mapInArrow(_drawn(most), "label string, at long, text string, lead int, gold array<int>")
+    order = Window.partitionBy("label").orderBy("at")
+    few = rows.withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= most).dropDuplicates(["label", "at"]).drop("nth").toPandas()
     rnd = random.Random(7)
     samples: list = []
-    seen: set[str] = set()
-    for bits in few.sort_values("at")["bits"]:
-        for text in bits:
-            if text in seen or len(samples) >= MAX_ISLANDS:
-                continue
-            seen.add(text)
-            spans = base_spans(text)
-            for island in islands(text):
-                gold = labelled(island, spans)
-                if gold is not None and len(island.pieces) <= 12:
-                    samples.append((island, gold))
-                    again = reformatted(island, gold, rnd) if gold else None
-                    if again:
-                        samples.append(again)
+    for row in few.sort_values(["label", "at"]).itertuples():
+        found = [x for x in islands(row.text) if x.pieces[0][0] == row.lead]
+        flat = list(row.gold)
+        gold = [(i, j, KINDS[k]) for i, j, k in zip(flat[0::3], flat[1::3], flat[2::3])]
+        if found and max((j for _, j, _ in gold), default=0) <= len(found[0].pieces):
+            samples.append((found[0], gold))
+            again = reformatted(found[0], gold, rnd) if gold else None
+            if again:
+                samples.append(again)
     return SemiMarkov.fit(samples)
 
 
@@ -291,43 +370,49 @@ def find(text: str | None, model: SemiMarkov | None) -> tuple[list[Span], list[S
     if model is None:
         return base, base
     added, nth = [], 0
-    ordered = sorted(base)
     for island in islands(text):
         lo, hi = island.pieces[0][0], island.pieces[-1][1]
-        while nth < len(ordered) and ordered[nth][1] <= lo:
+        while nth < len(base) and base[nth][1] <= lo:
             nth += 1
-        near = [s for s in ordered[nth : nth + 4 * len(island.pieces) + 8] if s[0] < hi]
+        near = [s for s in base[nth : bisect_left(base, hi, nth, key=lambda s: s[0])] if s[1] > lo]
         if len(near) == 1 and near[0][0] - lo <= 2 and hi - near[0][1] <= 2:
             continue  # the island is that one entity
+        starts = [s[0] for s in near]
+        reach = np.maximum.accumulate([s[1] for s in near]) if near else ()
         for i, j, kind in model.decode(island):
             start, end = island.bounds(i, j)
-            if not any(s < end and start < e for s, e, _ in near):
+            before = bisect_left(starts, end)
+            if not before or reach[before - 1] <= start:
                 added.append((start, end, kind))
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))) if added else base
 
 
-_ROWS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string"
+_COUNTS = [f"n_{kind}" for kind in KINDS[:4]]
+_ROWS = f"doc_id long, {', '.join(f'{c} long' for c in _COUNTS)}, base string, spans string, n_spans long"
 
 
 def detect(docs: DataFrame, model: SemiMarkov | None) -> DataFrame:
-    """doc_id; counts of the pattern spans by kind; base and spans: ``kind:start:end`` joined by commas.
+    """doc_id; counts of the pattern spans by kind; base and spans: ``kind:start:end`` joined by commas; n_spans.
 
-    Places are code points, the end exclusive.  Null counts as empty: no spans, empty strings.  Whole
-    texts are searched, each row for itself.
+    base holds the pattern spans, spans these and the added ones, n_spans their number.  Places are code
+    points, the end exclusive.  Null and empty texts have no spans and empty strings; whole texts are
+    searched, however long, each row for itself.  Of segmentations with equal scores the one with fewer, then
+    shorter, then earlier listed entities is taken.  No rows give no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in texts_of(batch.column(1)):
-                counts, joined = np.zeros((len(texts), len(KINDS)), dtype=np.int64), ([], [])
+                counts, joined, sizes = np.zeros((len(texts), 4), dtype=np.int64), ([], []), []
                 for i, text in enumerate(texts):
                     found = find(text, model)
                     for s in found[0]:
                         counts[i, KINDS.index(s[2])] += 1
                     for out, spans in zip(joined, found):
                         out.append(",".join(f"{k}:{s}:{e}" for s, e, k in spans))
-                arrays = [batch.column(0).slice(lo, len(texts)), *(pa.array(c) for c in counts.T), pa.array(joined[0], pa.string()), pa.array(joined[1], pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
+                    sizes.append(len(found[1]))
+                arrays = [batch.column(0).slice(lo, len(texts)), *(pa.array(c) for c in counts.T), *(pa.array(x, pa.string()) for x in joined), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *_COUNTS, "base", "spans", "n_spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROWS)
 
