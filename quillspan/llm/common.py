@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspan.plans.ship import ship
 
@@ -20,16 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share; a local one only where none is set and all run on one machine (tests)."""
     context = spark.sparkContext
     set_dir = context._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
     named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspan-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -37,32 +46,91 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that live as long as the operator runs.
+    """Parquet tables in the shared folder that live as long as the operator runs, however it ends.
 
     A written table outlives lost executors, is compressed, and can be dropped when superseded.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, root: str | None = None):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = root or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.turn = 0
+        self.named: dict[str, str] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
 
     def write(self, df: DataFrame, *partition_by: str) -> DataFrame:
-        self.turn += 1
-        path = f"{self.root}/{self.turn}"
+        path = self._next()
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def deal(self, df: DataFrame, *keys: str, dealt: bool = False) -> DataFrame:
+        """A table dealt into buckets by keys, each sorted by them: joins on these keys need no shuffle of it.
+
+        dealt: df lies in partitions by keys already.
+        """
+        path, n = self._next(), partitions(self.spark)
+        name = self.named[path] = f"quillspan_{uuid.uuid4().hex}"
+        df = df if dealt else df.repartition(n, *keys)
+        df.write.bucketBy(n, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+        out = self.spark.table(name)
+        out._scratch_path = path
+        return out
+
+    def dealt(self, path: str, schema: str, keys: list[str], n: int) -> DataFrame:
+        """A table that an earlier session dealt into n buckets."""
+        name, by = f"quillspan_{uuid.uuid4().hex}", ", ".join(keys)
+        self.named[path] = name
+        self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {n} BUCKETS LOCATION '{path}'")
+        out = self.spark.table(name)
+        out._scratch_path = path
+        return out
+
+    def exists(self, path: str) -> bool:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+    def _next(self) -> str:
+        self.turn += 1
+        return f"{self.root}/{self.turn}"
+
     def drop(self, df: DataFrame | None = None) -> None:
         """Delete one table, or all of them, and let Spark delete shuffle files nobody can read again."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path if df is not None else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path = df._scratch_path if df is not None else self.root
+        self.forget(None if df is None else path)
+        delete(self.spark, path)
         release(self.spark)
 
+    def forget(self, path: str | None = None) -> None:
+        """Take names of dealt tables out of the catalog; their files stay."""
+        for held in [p for p in self.named if path is None or p == path]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop(held)}")
+
+
+#: A key that more than one row in so many has is hot; fewer keys than this can be.
+HOT_SHARE = 1000
+
+
+def split_join(rows: DataFrame, others: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner join of rows with others, which have one row a key and in ``n`` the number of rows with that key.
+
+    Of ``total`` rows, fewer than HOT_SHARE keys can be hot; these are looked up where the rows lie, and
+    only the rows of the other keys are dealt by key.
+    """
+    hot = others.filter(F.col(n) * HOT_SHARE > total)
+    if total <= HOT_SHARE or hot.isEmpty():
+        return rows.join(others, on)
+    hot = F.broadcast(hot)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(others.filter(F.col(n) * HOT_SHARE <= total), on)
+    return cold.unionByName(rows.join(hot, on))
+
 
 def release(spark: SparkSession) -> None:
     gc.collect()

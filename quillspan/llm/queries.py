@@ -27,15 +27,15 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
-    ends = F.filter("removed", lambda x, i: i % 2 == 1)
-    starts = F.filter("removed", lambda x, i: i % 2 == 0)
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    every = lambda c, bit: F.aggregate(F.filter(c, lambda x, i: i % 2 == bit), F.lit(0).cast("long"), lambda a, x: a + x)
+    size = lambda c: every(c, 1) - every(c, 0)
     return cut.select(
         "doc_id",
         "n_bytes",
-        (total(ends) - total(starts)).alias("n_removed"),
+        size("removed").alias("n_removed"),
         F.floor(F.size("removed") / 2).cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        size("passages").alias("n_passage_words"),
     )
 
 

@@ -1,10 +1,10 @@
 """Numpy kernels of the suffix index: content-chosen suffixes and their fingerprints.
 
-Bytes of many documents are handled together in one buffer.  ``MATCH`` is the length of the
-strings that are looked for.  Each start s of such a string picks a suffix that begins in
-[s, s + WINDOW): the leftmost one with the smallest hash of its first eight bytes.  Equal strings
-pick suffixes at equal places in them, so only picked suffixes need an index, and two equal strings
-have picked suffixes that agree for at least ``MATCH - WINDOW + 1`` bytes (the depth).
+Symbols of many documents are handled together in one buffer: their bytes, or fingerprints of their
+words.  ``match`` is the length of the strings that are looked for.  Each start s of such a string picks
+a suffix that begins in [s, s + window): the leftmost one with the smallest hash of its first symbols.
+Equal strings pick suffixes at equal places in them, so only picked suffixes need an index, and two equal
+strings have picked suffixes that agree for at least ``match - window + 1`` symbols (the depth).
 """
 
 from __future__ import annotations
@@ -12,7 +12,9 @@ from __future__ import annotations
 import numpy as np
 
 WINDOW = 128
-POS_BITS = 28
+# a value of Spark has fewer bytes than 2**31
+POS_BITS = 31
+BYTES, WORDS = 0, 1
 _POS = np.uint64((1 << POS_BITS) - 1)
 _rng = np.random.default_rng(20260101)
 _TABLES = _rng.integers(0, 1 << 64, size=(2, 256), dtype=np.uint64)
@@ -37,15 +39,40 @@ def _powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return _cache["powers"]
 
 
+def window_of(match: int) -> int:
+    return min(WINDOW, match // 2)
+
+
+def depth_of(match: int) -> int:
+    return match - window_of(match) + 1
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray, unit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of documents laid end to end, and their n + 1 bounds: the bytes, or fingerprints of the words.
+
+    Words are runs of bytes other than space and 0x09 to 0x0D, as they are.
+    """
+    if unit == BYTES:
+        return data, offsets
+    solid = np.zeros(len(data) + 2, dtype=bool)
+    solid[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[offsets] = True
+    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | cut[:-1]))
+    ends = np.flatnonzero(solid[1:-1] & (~solid[2:] | cut[1:])) + 1
+    return Prints(data, (0,)).of(starts, ends).view(np.uint64), np.searchsorted(starts, offsets)
+
+
 class Prints:
-    """Fingerprints of any byte range of a buffer, from prefix sums modulo 2**64."""
+    """Fingerprints of any range of symbols of a buffer, from prefix sums modulo 2**64."""
 
     def __init__(self, data: np.ndarray, which: tuple[int, ...] = (0, 1)):
         powers = _powers(len(data) + 1)
         self.parts = []
         for k in which:
             sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(_TABLES[k][data] * powers[k][0][: len(data)], out=sums[1:])
+            values = _TABLES[k][data] if data.dtype == np.uint8 else _mixed(data ^ _TABLES[k][0])
+            np.cumsum(values * powers[k][0][: len(data)], out=sums[1:])
             self.parts.append((sums, powers[k][1]))
 
     def of(self, start: np.ndarray, end: np.ndarray, k: int = 0) -> np.ndarray:
@@ -55,10 +82,17 @@ class Prints:
         return (x * _M2).view(np.int64)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _M1
+    x ^= x >> np.uint64(29)
+    x *= _M2
+    return x
+
+
 def picks(data: np.ndarray, offsets: np.ndarray, match: int) -> tuple[np.ndarray, ...]:
     """Runs of starts that pick the same suffix: document index, first start, last start, suffix.
 
-    data holds the documents end to end, offsets their n + 1 bounds; all places are in data.
+    data holds the symbols of documents end to end, offsets their n + 1 bounds; all places are in data.
     """
     none = np.empty(0, dtype=np.int64)
     sizes = np.diff(offsets)
@@ -66,13 +100,15 @@ def picks(data: np.ndarray, offsets: np.ndarray, match: int) -> tuple[np.ndarray
     if not len(docs):
         return none, none, none, none
     n = len(data)
-    if n >= 1 << POS_BITS:
-        raise ValueError(f"a document of {n} bytes is longer than {1 << POS_BITS}")
-    window = min(WINDOW, match // 2)
-    padded = np.concatenate([data, np.zeros(8 + window, dtype=np.uint8)])
-    key = np.ndarray(shape=(n + window,), dtype="<u8", buffer=padded, strides=(1,)) * _M1
-    key ^= key >> np.uint64(29)
-    key *= _M2
+    window = window_of(match)
+    padded = np.concatenate([data, np.zeros(8 + window, dtype=data.dtype)])
+    if data.dtype == np.uint8:
+        heads = np.ndarray(shape=(n + window,), dtype="<u8", buffer=padded, strides=(1,))
+    else:
+        heads = _mixed(padded[: n + window]) + padded[1 : n + window + 1]
+    key = _mixed(heads)
+    key ^= key >> np.uint64(32)
+    key *= _M1
     key &= ~_POS
     key |= np.arange(n + window, dtype=np.uint64)
     step = 1

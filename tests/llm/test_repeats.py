@@ -1,7 +1,11 @@
 import hashlib
 import random
+import re
+from collections import Counter
+from pathlib import Path
 
-from quillspan.llm.repeats import remove_repeats
+from quillspan.llm.common import Scratch
+from quillspan.llm.repeats import SuffixFamily, remove_repeats
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -24,6 +28,53 @@ def brute(texts, match):
     return out
 
 
+def passages(texts, n):
+    """Ranges of words, flat, that strings of n words cover which start anywhere else."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for w in words:
+        found = []
+        for i in range(len(w) - n + 1):
+            if seen[tuple(w[i : i + n])] > 1:
+                if found and i <= found[-1]:
+                    found[-1] = i + n
+                else:
+                    found += [i, i + n]
+        out.append(found)
+    return out
+
+
+def test_a_family_takes_further_batches(spark, tmp_path):
+    texts, folder = fixture(), f"{tmp_path}/family"
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+    first, second, third = (docs.filter(f"doc_id % 3 = {i}") for i in range(3))
+    remove_repeats(first, 200, 2, 10, folder)
+    remove_repeats(second, 200, 1, 10, folder, known=first)
+    got = remove_repeats(third, 200, 1, 10, folder, known=first.union(second)).collect()
+    assert digest(got) == sorted((i, n, r, h, s) for i, (n, r, h, s) in enumerate(brute(texts, 200)))
+    assert {r.doc_id: r.passages for r in got} == dict(enumerate(passages(texts, 10)))
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quillspan_")]
+    with Scratch(spark, "t") as scratch, SuffixFamily(scratch, (200, 10), folder) as family:
+        assert [x is None for x in family.levels] == [True, True, False] and len(family.suffixes) == 3
+        for how in ("full_outer", "inner"):
+            plan = family.scan(family.levels[2], family.levels[2].select("*"), how)._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+        family.store.drop()
+    assert not Path(folder).exists()
+
+
+def test_one_key_holds_most_rows(spark):
+    """More than a thousandth of the rows share a suffix, so hot and other keys go separate ways."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcde") for _ in range(5))
+    shared = " ".join(word() for _ in range(20))
+    texts = [shared + " " + " ".join(word() for _ in range(12)) + (" " + shared if i % 3 else "") for i in range(300)]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA)
+    want = sorted((i, n, r, h, s) for i, (n, r, h, s) in enumerate(brute(texts, 60)))
+    assert digest(remove_repeats(docs, 60, 2, 8).collect()) == want
+
+
 def digest(rows):
     return sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, sum(r.removed[1::2]) - sum(r.removed[0::2]), hashlib.sha256(r.kept).hexdigest(), len(r.removed) // 2) for r in rows)
 
@@ -48,7 +99,9 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], SCHEMA).repartition(3)
     for match, batches in ((200, 4), (97, 3), (400, 1)):
         want = sorted((i, n, r, h, s) for i, (n, r, h, s) in enumerate(brute(texts, match)))
-        assert digest(remove_repeats(docs, match, batches).collect()) == want
+        got = remove_repeats(docs, match, batches, passage := match // 20).collect()
+        assert digest(got) == want
+        assert {r.doc_id: r.passages for r in got} == dict(enumerate(passages(texts, passage)))
 
 
 def test_odd_rows(spark):
