@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import ann, decontaminate, langid, pieces, pii, quality, toxicity, urls
+from quillspan.llm import ann, decontaminate, langid, pieces, pii, quality, repeats, toxicity, urls
 from quillspan.llm.common import table
-from quillspan.llm.repeats import remove_repeats
 from quillspan.llm.simhash import near_duplicates
 
 
@@ -26,7 +25,7 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     every = lambda c, bit: F.aggregate(F.filter(c, lambda x, i: i % 2 == bit), F.lit(0).cast("long"), lambda a, x: a + x)
     size = lambda c: every(c, 1) - every(c, 0)
     return cut.select(
@@ -87,4 +86,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_pieces": op10_pieces,
 }
-ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.sql()}
+ORACLE_SQL: dict[str, str] = {"op3_suffix_dedup": repeats.sql(), "op5_decontaminate": decontaminate.sql()}

@@ -297,3 +297,28 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, batches: int = BATCHES,
         spans = repeated_spans(rows, family, scratch)
         joined = rows.join(spans, KEY, "left").select("doc_id", "text", "spans")
         return checkpoint(joined.mapInArrow(_cut(family.matches), f"doc_id {kind}, n_bytes long, removed array<long>, passages array<long>, kept binary"))
+
+
+def sql(match: int = MATCH, passage: int = PASSAGE) -> str:
+    """The registered query's rows in DuckDB's SQL, from all strings of all documents."""
+    w = 2 * match
+    return f"""WITH x AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b_at AS (SELECT r, x, unnest(range(greatest(length(x) // 2 - {match - 1}, 0))) AS s FROM x),
+b_n AS (SELECT r, s, count(*) OVER (PARTITION BY key) AS n FROM (SELECT r, s, md5(substr(x, 2 * s + 1, {w})) AS key FROM b_at)),
+words AS (SELECT r, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM x),
+w_at AS (SELECT r, ws, unnest(range(greatest(len(ws) - {passage - 1}, 0))) AS s FROM words),
+w_n AS (SELECT r, s, count(*) OVER (PARTITION BY key) AS n FROM (SELECT r, s, md5(array_to_string(ws[s + 1 : s + {passage}], ' ')) AS key FROM w_at)),
+{_sql_ranges("b", match)},
+{_sql_ranges("w", passage)},
+gaps AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS before FROM b_r),
+cut AS (SELECT r, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept FROM gaps JOIN x USING (r) GROUP BY r),
+told AS (SELECT r, sum(hi - lo) AS n FROM w_r GROUP BY r)
+SELECT doc_id, length(x.x) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, x.x))) AS kept_sha256, coalesce(told.n, 0)::BIGINT AS n_passage_words
+FROM x LEFT JOIN cut USING (r) LEFT JOIN told USING (r)"""
+
+
+def _sql_ranges(name: str, match: int) -> str:
+    """CTE name_r(r, lo, hi): maximal ranges covered by the strings of name_n that are there more than once."""
+    return f"""{name}_new AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + {match}, true)::INT AS new FROM {name}_n WHERE n > 1),
+{name}_r AS (SELECT r, min(s) AS lo, max(s) + {match} AS hi FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS g FROM {name}_new) GROUP BY r, g)"""
