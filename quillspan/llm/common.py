@@ -121,15 +121,18 @@ HOT_SHARE = 1000
 def split_join(rows: DataFrame, others: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
     """Inner join of rows with others, which have one row a key and in ``n`` the number of rows with that key.
 
-    Of ``total`` rows, fewer than HOT_SHARE keys can be hot; these are looked up where the rows lie, and
-    only the rows of the other keys are dealt by key.
+    Of ``total`` rows, fewer than HOT_SHARE keys can be hot.  These are looked up where the rows lie, and
+    only the rows of the other keys are dealt by key.  ``others`` is read twice, so it should be a table.
     """
-    hot = others.filter(F.col(n) * HOT_SHARE > total)
-    if total <= HOT_SHARE or hot.isEmpty():
+    if total <= HOT_SHARE:
         return rows.join(others, on)
-    hot = F.broadcast(hot)
-    cold = rows.join(hot.select(*on), on, "left_anti").join(others.filter(F.col(n) * HOT_SHARE <= total), on)
-    return cold.unionByName(rows.join(hot, on))
+    hot = F.col(n) * HOT_SHARE > total
+    found = others.filter(hot).collect()
+    if not found:
+        return rows.join(others, on)
+    known = F.broadcast(rows.sparkSession.createDataFrame(found, others.schema))
+    cold = rows.join(known.select(*on), on, "left_anti").join(others.filter(~hot), on)
+    return cold.unionByName(rows.join(known, on))
 
 
 def release(spark: SparkSession) -> None:

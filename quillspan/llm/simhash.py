@@ -20,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import Scratch, checkpoint, partitions, texts_of
-from quillspan.llm.components import components
+from quillspan.llm.common import Scratch, checkpoint, partitions, split_join, texts_of
+from quillspan.llm.components import components, named_by_least
 
 RADIUS = 4
 SHINGLE = 4
@@ -119,20 +119,22 @@ def _links(radius: int):
     return run
 
 
-def links(kinds: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def links(kinds: DataFrame, scratch: Scratch, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) among rows (fp, node) with distinct fp: enough to connect all that are within the radius."""
-    spark = kinds.sparkSession
-    laid = F.array(*(F.struct(F.lit(i).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("masked")) for i, m in enumerate(masks(radius))))
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius)]
+    laid = F.array(*(F.struct(F.lit(i).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("masked")) for i, m in enumerate(signed)))
     rows = kinds.select("fp", "node", F.explode(laid).alias("m")).select("m.*", "fp", "node")
-    shared = rows.groupBy("mask", "masked").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bucket = ["mask", "masked"]
+    shared = scratch.write(rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     parts = F.ceil(F.col("n") / F.lit(block)).cast("long")
     mine = F.pmod(F.xxhash64("fp"), parts)
-    met = rows.join(shared, ["mask", "masked"]).withColumns({"parts": parts, "mine": mine})
+    met = split_join(rows, shared, bucket, len(signed) * kinds.count()).withColumns({"parts": parts, "mine": mine})
     dealt = met.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")).select(
-        "mask", "masked", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp", "node"
+        *bucket, F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp", "node"
     )
-    group = ["mask", "masked", "lo", "hi"]
-    return dealt.repartition(partitions(spark), *group).sortWithinPartitions(*group).mapInArrow(_links(radius), "a long, b long").distinct()
+    group = [*bucket, "lo", "hi"]
+    dealt = dealt.repartition(partitions(scratch.spark), *group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(_links(radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -140,19 +142,17 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 
     Null and blank texts have the fingerprint zero and are linked like any other.  Rows with equal ids
     have a result each.  Rows without an id are linked too but do not name a component; if nothing in a
-    component has an id, its component_id is null.
+    component has an id, its component_id is null.  Texts are read whole, however long; other columns are
+    ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    prints = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_prints(size), "doc_id long, fp long"))
-    kinds = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    # a fingerprint is its own node: it is distinct, and needs no id
-    roots = components(links(kinds.select("fp", F.col("fp").alias("node")), radius))
-    rooted = kinds.join(roots, kinds["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    out = checkpoint(prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
-    scratch.drop()
-    return out
+    with Scratch(docs.sparkSession, "simhash") as scratch:
+        prints = scratch.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_prints(size), "doc_id long, fp long"))
+        kinds = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+        # a fingerprint is its own node: it is distinct, and needs no id
+        roots = components(links(kinds.select("fp", F.col("fp").alias("node")), scratch, radius), scratch)
+        named = named_by_least(kinds, roots, "fp", scratch)
+        found = split_join(prints, named, ["fp"], prints.count())
+        return checkpoint(found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

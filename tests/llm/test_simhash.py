@@ -3,6 +3,8 @@ import random
 import numpy as np
 import xxhash
 
+from quillspan.llm.common import Scratch, split_join
+from quillspan.llm.components import components
 from quillspan.llm.simhash import fingerprints_of, keep_one, links, masks, near_duplicates
 
 SCHEMA = "doc_id long, text string, fp string"
@@ -83,7 +85,8 @@ def test_large_buckets_are_dealt_in_blocks(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     kinds = spark.createDataFrame([(x, x) for x in signed], "fp long, node long")
     for block in (16, 100000):
-        edges = {(r.a, r.b) for r in links(kinds, block=block).collect()}
+        with Scratch(spark, "t") as scratch:
+            edges = {(r.a, r.b) for r in links(kinds, scratch, block=block).collect()}
         assert all((a ^ b).bit_count() <= 4 if a ^ b >= 0 else ((a ^ b) % (1 << 64)).bit_count() <= 4 for a, b in edges)
         root = {x: x for x in signed}
 
@@ -99,3 +102,19 @@ def test_large_buckets_are_dealt_in_blocks(spark):
         for i, x in enumerate(signed):
             groups.setdefault(find(x), set()).add(want[i])
         assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want))
+
+
+def test_components_of_a_star_a_path_and_a_clique(spark):
+    edges = [(0, i) for i in range(1, 1500)] + [(i, i + 1) for i in range(2000, 2060)] + [(3000 + i, 3000 + j) for i in range(30) for j in range(i)]
+    with Scratch(spark, "t") as scratch:
+        got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+        assert components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long"), scratch).collect() == []
+    assert got == {**{i: 0 for i in range(1500)}, **{i: 2000 for i in range(2000, 2061)}, **{i: 3000 for i in range(3000, 3030)}}
+
+
+def test_split_join_is_a_join(spark):
+    keys = [7] * 2000 + [8] * 900 + list(range(100, 1500)) + [None]
+    rows = spark.createDataFrame(list(zip(keys, range(len(keys)))), "key long, x long")
+    counts = rows.groupBy("key").count().withColumnRenamed("count", "n").filter("key <> 105")
+    want = sorted((r.key, r.x, r.n) for r in rows.join(counts, ["key"]).collect())
+    assert sorted((r.key, r.x, r.n) for r in split_join(rows, counts, ["key"], len(keys)).collect()) == want
