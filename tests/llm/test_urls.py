@@ -43,7 +43,7 @@ def test_rules_against_brute_force(spark):
                     if sum(hits) / n >= 0.05 and sum(hits) / len(hits) >= 0.5 and sum(hits) / len(hits) / rate >= 1.2:
                         want.append((frozenset(c), sum(hits) / len(hits)))
     rules = mine(pages, labels, support=0.05)
-    assert [(sorted(i), round(c, 9)) for i, c in rules] == [(sorted(i), round(c, 9)) for i, c in prune(want)] and rules
+    assert [(sorted(i), round(c, 9)) for i, c in rules] == [(sorted(i), round(c, 9)) for i, c in prune(sorted(want, key=lambda r: (len(r[0]), sorted(r[0]))))] and rules
     assert not any({BAD, GOOD} & i for i, _ in rules)
     got = {r.page_id: r for r in judge(pages, rules).collect()}
     for i, u, _ in rows:
@@ -73,3 +73,20 @@ def test_whole_urls_are_matched(spark):
     rows = [(i, "https://a.org/" + "/".join(f"w{i}x{k}" for k in range(14)) + ("/evil" if i % 2 else "/good"), i % 2) for i in range(20)]
     pages = spark.createDataFrame([(i, u, "z") for i, u, _ in rows], SCHEMA)
     assert frozenset({"p:evil"}) in dict(mine(pages, spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, bad int"), support=0.3))
+
+
+def test_prune_against_all_subsets():
+    rnd = random.Random(9)
+    sets = {frozenset(rnd.sample("abcdef", rnd.randint(1, 5))): rnd.choice([0.5, 0.6, 0.7, 0.8]) for _ in range(60)}
+    want = {items for items, c in sets.items() if not any(other < items and d >= c for other, d in sets.items())}
+    assert {items for items, _ in prune(sorted(sets.items(), key=lambda r: len(r[0])))} == want
+
+
+def test_too_many_rules_raise_the_support(spark, monkeypatch):
+    from quillspan.llm import urls
+
+    rows = [(i, f"https://a.org/{'x' if i % 2 else 'y'}/{'r' if i % 8 == 1 else 's'}", i % 2) for i in range(80)]
+    pages, labels = spark.createDataFrame([(i, u, "z") for i, u, _ in rows], SCHEMA), spark.createDataFrame([(i, b) for i, _, b in rows], "doc_id long, bad int")
+    assert {frozenset({"p:x"}), frozenset({"p:r"})} <= {items for items, _ in mine(pages, labels, support=0.1)}
+    monkeypatch.setattr(urls, "MAX_RULES", 1)
+    assert {items for items, _ in mine(pages, labels, support=0.1)} == {frozenset({"p:x"})}
