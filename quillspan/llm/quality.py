@@ -2,16 +2,20 @@
 
 One view is the text: statistics of characters, words and lines.  The other is metadata: source, language,
 length and, where there is a page with the document's id, its URL and size.  Each view has a logistic
-regression.  Over several rounds each labels the pool documents it is most sure of, and the other learns
-from them.  On a fold that neither has seen, each view is calibrated and the calibrated views are combined
+regression, first fitted on labelled documents.  Over several rounds each view labels the pool, which is
+every document outside the labelled sample, where it is sure; the other view learns from these labels
+and its own.  A round's labels stay while the learning views take a few Newton steps, each of which is one
+pass over the pool that returns sums; so the pool has no bound and never leaves the executors.  On a fold
+that no view has learned from, each view is calibrated; on another one the calibrated views are combined
 by a third logistic regression, which scores all documents.
 """
 
 from __future__ import annotations
 
+import copy
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from operator import eq
 
 import numpy as np
@@ -19,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm.common import texts_of
+from quillspan.llm.common import Scratch, checkpoint, texts_of
 from quillspan.llm.sampling import labelled_sample
 
-#: Labelled documents, and unlabelled pool documents, that the classifiers are fitted on, at most.
-MAX_TRAIN, MAX_POOL = 8_000, 8_000
-ROUNDS = 5
-#: A pool document is labelled by a view that gives it a probability so near 0 or 1; per round, at most so large a share of the pool.
-SURE, SHARE = 0.95, 0.1
+#: Labelled documents that the classifiers are fitted on, at most.
+MAX_TRAIN = 8_000
+ROUNDS, STEPS = 3, 2
+#: A pool document is labelled by a view that gives it a probability so near 0 or 1.
+SURE = 0.95
+#: Weight of all labels from the other view against that of the labelled documents, at most; and of one of them.
+SHARE, ONE = 0.5, 0.3
+#: Rows of sums that come to the driver in each step.
+SUMS = 16
 META = 64
 TEXT = 16
 _PUNCTUATION = np.zeros(256, dtype=bool)
@@ -78,28 +86,34 @@ def meta_view(source: str | None, lang: str | None, n_chars: int | None, url: st
 class Logistic:
     """Standardised, ridge-penalised logistic regression fitted by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
         self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-        z = self.design(x)
-        w = np.ones(len(x)) if weight is None else weight
-        self.beta = np.zeros(z.shape[1])
-        if not len(x) or y.min() == y.max():
+        self.penalty = np.full(x.shape[1] + 1, ridge)
+        self.penalty[-1] = 1e-6
+        self.beta = np.zeros(x.shape[1] + 1)
+        self.fixed = not len(x) or y.min() == y.max()
+        if self.fixed:
             self.beta[-1] = 0.0 if not len(x) else 8.0 * (2 * y[0] - 1)
             return
-        penalty = np.full(z.shape[1], ridge)
-        penalty[-1] = 1e-6
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.beta, -30, 30)))
-            slope = z.T @ (w * (p - y)) + penalty * self.beta
-            step = np.linalg.solve((z * (w * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(penalty), slope)
-            self.beta -= np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-8:
+            if self.step(*self.sums(x, y)) < 1e-8:
                 break
 
     def design(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -10, 10)
         return np.hstack([z, np.ones((len(x), 1))])
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slope and curvature of the loss at the present weights, without the penalty."""
+        z, p = self.design(x), self.probability(x)
+        return z.T @ (p - y), (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+
+    def step(self, slope: np.ndarray, curvature: np.ndarray) -> float:
+        """One Newton step; how far it went."""
+        by = np.linalg.solve(curvature + np.diag(self.penalty), slope + self.penalty * self.beta)
+        self.beta -= np.clip(by, -5, 5)
+        return float(np.abs(by).max())
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.design(x) @ self.beta, -30, 30)
 
@@ -107,86 +121,137 @@ class Logistic:
         return 1 / (1 + np.exp(-self.logit(x)))
 
 
+Views = tuple[np.ndarray, np.ndarray]
+
+
+def taught(views: Views, teachers: list[Logistic], learners: list[Logistic], sure: float) -> list[np.ndarray]:
+    """For each learner, what the other view's sure labels of pool documents add up to: number, slope and curvature, flat."""
+    out = []
+    for k in (0, 1):
+        p = teachers[1 - k].probability(views[1 - k])
+        some = (p >= sure) | (p <= 1 - sure)
+        slope, curvature = learners[k].sums(views[k][some], (p[some] > 0.5).astype(float))
+        out.append(np.concatenate([[some.sum()], slope, curvature.ravel()]))
+    return out
+
+
 class CoTrained:
     """Both views, their calibration and their combination."""
 
-    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS, sure: float = SURE, share: float = SHARE):
-        held = np.arange(len(y)) % 5 == 0
-        taught = [[(v[~held], y[~held])] for v in views]
-        left = [np.arange(len(pool[0])), np.arange(len(pool[0]))]
+    def __init__(self, views: Views, y: np.ndarray, pool: Callable[[Callable[[Views], list[np.ndarray]]], list[np.ndarray]], rounds: int = ROUNDS, steps: int = STEPS, sure: float = SURE):
+        """pool: maps a function over blocks of the pool's views and adds up what it returns."""
+        fold = np.arange(len(y)) % 10
+        own = [(v[fold > 1], y[fold > 1]) for v in views]
         self.exchanged = 0
-        self.views = [Logistic(*taught[k][0]) for k in (0, 1)]
-        for _ in range(rounds):
-            for k in (0, 1):  # view k teaches the other
-                p = self.views[k].probability(pool[k][left[1 - k]])
-                some = np.flatnonzero((p >= sure) | (p <= 1 - sure))
-                some = some[np.argsort(-np.abs(p[some] - 0.5), kind="stable")][: int(share * len(pool[0])) + 1]
-                if len(some):
-                    taught[1 - k].append((pool[1 - k][left[1 - k][some]], (p[some] > 0.5).astype(float)))
-                    left[1 - k] = np.delete(left[1 - k], some)
-                    self.exchanged += len(some)
-            self.views = [Logistic(np.concatenate([x for x, _ in t]), np.concatenate([l for _, l in t]), np.concatenate([np.full(len(l), 1.0 if i == 0 else 0.3) for i, (_, l) in enumerate(t)])) for t in taught]
-        self.calibrated = [Logistic(self.views[k].logit(views[k][held])[:, None], y[held]) for k in (0, 1)]
-        self.combined = Logistic(self._both(tuple(v[held] for v in views)), y[held])
-
-    def _both(self, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        self.views = [Logistic(*x) for x in own]
+        for _ in range(rounds if not any(v.fixed for v in self.views) else 0):
+            teachers = copy.deepcopy(self.views)
+            for _ in range(steps):
+                learners = self.views
+                found = pool(lambda block, t=teachers, l=learners: taught(block, t, l, sure))
+                for learner, (x, labels), flat in zip(learners, own, found):
+                    n, width = float(flat[0]), len(learner.beta)
+                    slope, curvature = learner.sums(x, labels)
+                    weight = min(ONE, SHARE * len(labels) / n) if n else 0.0
+                    learner.step(slope + weight * flat[1 : 1 + width], curvature + weight * flat[1 + width :].reshape(width, width))
+            self.exchanged += int(sum(flat[0] for flat in found))
+        self.calibrated = [Logistic(self.views[k].logit(views[k][fold == 0])[:, None], y[fold == 0]) for k in (0, 1)]
+        self.combined = Logistic(self._both(tuple(v[fold == 1] for v in views)), y[fold == 1])
+
+    def _both(self, views: Views) -> np.ndarray:
         return np.stack([self.calibrated[k].logit(self.views[k].logit(views[k])[:, None]) for k in (0, 1)], axis=1)
 
-    def score(self, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def score(self, views: Views) -> np.ndarray:
         """Columns: calibrated probability of each view, and of both."""
         both = self._both(views)
         return np.column_stack([1 / (1 + np.exp(-both)), self.combined.probability(both)])
 
 
 def viewed(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, text view, and metadata of each row of docs.
+    """doc_id, x (text view) and meta (metadata view) of each row of docs.
 
     Texts are turned into their statistics before anything is shuffled.  A page id that repeats counts
     once (the smallest URL and largest page).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, texts in texts_of(batch.column(4)):
                 part = batch.slice(lo, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([text_view(t) for t in texts], pa.list_(pa.float64()))], ["doc_id", "source", "lang", "n_chars", "view"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([text_view(t) for t in texts], pa.list_(pa.float32()))], ["doc_id", "source", "lang", "n_chars", "x"])
+
+    def of_meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            metas = [meta_view(*m) for m in zip(*(batch.column(i).to_pylist() for i in range(2, 7)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(metas, pa.list_(pa.float32()))], ["doc_id", "x", "meta"])
 
-    made = rows.mapInArrow(run, "doc_id long, source string, lang string, n_chars long, view array<double>")
+    made = rows.mapInArrow(of_text, "doc_id long, source string, lang string, n_chars long, x array<float>")
     once = pages.filter(F.col("page_id").isNotNull()).groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.min("url").alias("url"), F.max(F.length("html").cast("long")).alias("html"))
-    return made.join(once, made["doc_id"] == once["page_id"], "left").drop("page_id")
+    both = made.join(once, made["doc_id"] == once["page_id"], "left").select("doc_id", "x", "source", "lang", "n_chars", "url", "html")
+    return both.mapInArrow(of_meta, "doc_id long, x array<float>, meta array<float>")
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+
 
+def _views(batch: pa.RecordBatch) -> Views:
+    """Of a batch whose last two columns are x and meta."""
+    return _matrix(batch.column(batch.num_columns - 2), TEXT), _matrix(batch.column(batch.num_columns - 1), META)
 
-def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, TEXT)
-    meta = [batch.column(i).to_pylist() for i in (1, 2, 3, 5, 6)]
-    return x, np.array([meta_view(*m) for m in zip(*meta)]).reshape(-1, META)
 
+def _summed(pool: DataFrame):
+    """Adds up, over the pool's rows (x, meta), what a function returns for blocks of them."""
+    schema = "a array<double>, b array<double>"
 
-def fit(docs: DataFrame, pages: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_pool: int = MAX_POOL) -> CoTrained:
-    """Fit on at most ``max_train`` documents with a quality of 0 or 1, and ``max_pool`` without."""
-    columns = ["text", "source", "lang", "n_chars"]
+    def table(sums: list[np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.float64())) for x in sums], ["a", "b"])
+
+    def over(work: Callable[[Views], list[np.ndarray]]) -> list[np.ndarray]:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                found = work(_views(batch))
+                total = found if total is None else [a + b for a, b in zip(total, found)]
+            yield from table(total)
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns)):
+                    found = [np.array(x) for x in row]
+                    total = found if total is None else [a + b for a, b in zip(total, found)]
+            yield from table(total)
+
+        rows = pool.select("x", "meta").mapInArrow(each, schema).repartition(SUMS).mapInArrow(add, schema).collect()
+        if not rows:
+            return [np.zeros(1 + w + w * w) for w in (TEXT + 1, META + 1)]
+        return [np.sum([r[i] for r in rows], axis=0) for i in (0, 1)]
+
+    return over
+
+
+def fit(seen: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> CoTrained:
+    """Fit on viewed documents, of which at most ``max_train`` with a quality of 0 or 1 teach by their label, and all others are the pool.
+
+    A document id with several labels has the largest.  ``seen`` is read in every step, so it should be a table.
+    """
     known = labels.filter(F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    train = labelled_sample(docs, known, columns, max_train).select("doc_id", *columns, "quality")
-    free = docs.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti")
-    pool = labelled_sample(docs, free.select("doc_id", F.lit(None).cast("int").alias("quality")), columns, max_pool)
-    both = train.unionByName(pool.select("doc_id", *columns, "quality"))
-    quality = both.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col("quality").cast("double")).distinct().toPandas()
-    rows = viewed(both.drop("quality").distinct(), pages).toPandas().sort_values("doc_id", kind="stable")
-    of = dict(zip(quality["id"], quality["quality"]))
-    y = np.array([of.get(i, np.nan) for i in rows["doc_id"]], dtype=float)
-    x = np.stack(rows["view"].to_numpy()) if len(rows) else np.zeros((0, TEXT))
-    none = lambda c, kind: [None if v is None or v != v else kind(v) for v in rows[c]]
-    meta = np.array([meta_view(*m) for m in zip(none("source", str), none("lang", str), none("n_chars", int), none("url", str), none("html", int))]).reshape(-1, META)
-    known_rows = ~np.isnan(y)
-    return CoTrained((x[known_rows], meta[known_rows]), y[known_rows], (x[~known_rows], meta[~known_rows]))
-
-
-def assess(docs: DataFrame, pages: DataFrame, model: CoTrained) -> DataFrame:
-    """doc_id, p_text, p_meta, quality (probability of good, from both views), keep (quality >= 0.5) of each row.
-
-    A null or empty text has a text view of zeros; null metadata are values of their own.  Without labels
-    everything has the quality 0.5 and is kept; with labels of one kind, theirs.
+    train = labelled_sample(seen, known, ["x", "meta"], max_train).orderBy(F.xxhash64("doc_id"), "doc_id", "x").toPandas()
+    chosen = seen.sparkSession.createDataFrame([(int(i),) for i in sorted(set(train["doc_id"]))], "id long")
+    pool = seen.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_anti")
+    views = tuple(np.array(train[c].tolist(), dtype=float).reshape(-1, width) for c, width in (("x", TEXT), ("meta", META)))
+    return CoTrained(views, train["quality"].to_numpy(dtype=float), _summed(pool))
+
+
+def assess(seen: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, p_text, p_meta, quality (probability of good, from both views), keep (quality >= 0.5) of each viewed row.
+
+    A null or empty text has a text view of zeros; null metadata are values of their own.  Texts count whole,
+    however long.  Equal rows have equal results, other columns of docs are ignored, no rows give no rows.
+    Without labels everything has the quality 0.5 and is kept; with labels of one kind, theirs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,4 +260,11 @@ def assess(docs: DataFrame, pages: DataFrame, model: CoTrained) -> DataFrame:
                 p = model.score(_views(batch))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, i]) for i in range(3)), pa.array(p[:, 2] >= 0.5)], ["doc_id", "p_text", "p_meta", "quality", "keep"])
 
-    return viewed(docs, pages).mapInArrow(run, "doc_id long, p_text double, p_meta double, quality double, keep boolean")
+    return seen.mapInArrow(run, "doc_id long, p_text double, p_meta double, quality double, keep boolean")
+
+
+def rated(docs: DataFrame, pages: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The assessment of all docs (doc_id, text, source, lang, n_chars) by views that are made once."""
+    with Scratch(docs.sparkSession, "quality") as scratch:
+        seen = scratch.write(viewed(docs, pages))
+        return checkpoint(assess(seen, fit(seen, labels, max_train)))

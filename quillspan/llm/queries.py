@@ -65,7 +65,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, pages, labels = (table(spark, sf_dir, name) for name in ("documents", "pages", "labels"))
-    return quality.assess(docs, pages, quality.fit(docs, pages, labels))
+    return quality.rated(docs, pages, labels)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
