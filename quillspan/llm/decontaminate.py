@@ -2,11 +2,12 @@
 
 A test item is far smaller than most documents, so a document that holds it whole may still have a
 Jaccard similarity near zero with it, and banded sketches of documents would miss it.  The sketch is
-therefore one-sided.  Items are partitioned by their number n of distinct shingles; in each partition
-an item's MinHash sketch is its n - ceil(threshold * n) + 1 smallest shingle hashes.  A document that
-contains at least threshold * n of the n shingles must contain one of those, so no document is missed.
-Documents are sampled by hash: only shingles up to the largest sketch hash can meet a sketch.  Documents
-that meet one are candidates, and exact containment of the shingles themselves decides.
+therefore one-sided.  Items are partitioned by their number n of distinct shingles, by powers of two, and
+the partition says how many hits a candidate needs (``needed``).  An item's MinHash sketch is its
+n - ceil(threshold * n) + needed smallest shingle hashes: a document that contains at least threshold * n
+of the n shingles must contain ``needed`` of those, so no document is missed, and a shingle that many
+documents share makes no candidates by itself in the partitions of larger items.  Documents are sampled by
+hash: only shingles up to the largest sketch hash can meet a sketch.  Exact containment decides.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from quillspan.llm.common import Scratch, checkpoint
 
 SIZE = 5
 THRESHOLD = 0.8
-#: Rows of a sketch table or of candidate keys, 8 to 24 bytes each, up to which they are broadcast.
+#: Hits in the sketch that a candidate needs, by the size partition of the item; larger ones take the last.
+HITS = (1, 1, 1, 2, 2, 3)
+#: Rows of a sketch table, 32 bytes each, or of item shingles, about a hundred, up to which they are broadcast.
 BROADCAST_ROWS = 200_000
+#: Parts that the rows of one key are dealt into where the other side is too large to be broadcast.
+SALTS = 32
 
 BLANK = "[\\x20\\x09-\\x0D]+"
 _KEY = ["k", "h"]
@@ -45,14 +50,31 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def needed(n: Column) -> Column:
+    """Hits in its sketch that an item of n shingles needs; n - ceil(threshold * n) + needed(n) never exceeds n."""
+    part = F.floor(F.log2(n)).cast("int")
+    return F.element_at(F.array(*map(F.lit, HITS)), F.least(part + 1, F.lit(len(HITS))))
+
+
 def sketches(items: DataFrame, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """item, item_id, shingles (distinct), part (size partition), sketch of each distinct row of items."""
+    """item, item_id, shingles (distinct), hits and sketch of each distinct row of items."""
     distinct = items.select(F.col("item_id").cast("long"), "text").distinct()
     held = distinct.select("item_id", F.xxhash64("item_id", "text").alias("item"), words(F.col("text")).alias("ws"), word_hashes(F.col("text")).alias("wh"))
-    held = held.select("item_id", "item", F.array_distinct(shingles(F.col("ws"), size)).alias("shingles"), F.array_sort(F.array_distinct(shingle_hashes(F.col("wh"), size))).alias("hashes"))
+    shingled = F.array_distinct(shingles(F.col("ws"), size)).alias("shingles")
+    held = held.select("item_id", "item", shingled, F.array_sort(F.array_distinct(shingle_hashes(F.col("wh"), size))).alias("hashes"))
     n = F.size("hashes")
-    least = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
-    return held.filter(n > 0).select("item", "item_id", "shingles", F.floor(F.log2(n)).cast("int").alias("part"), F.slice("hashes", F.lit(1), least).alias("sketch"))
+    least = F.ceil(F.lit(threshold) * n - 1e-9).cast("int")
+    held = held.filter(n > 0).withColumn("hits", F.least(needed(n), least))
+    return held.select("item", "item_id", "shingles", "hits", F.slice("hashes", F.lit(1), n - least + F.col("hits")).alias("sketch"))
+
+
+def _met(rows: DataFrame, others: DataFrame, on: str, n: int) -> DataFrame:
+    """Inner join with n others: broadcast up to a bound, else each key is dealt into SALTS parts, and others go to all of them."""
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(others), on)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*_KEY), F.lit(SALTS)).cast("int"))
+    return dealt.join(others.select("*", salts), [on, "salt"]).drop("salt")
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
@@ -60,34 +82,40 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, s
 
     docs: doc_id, text; items: item_id, text.  Containment is the share of an item's distinct word
     shingles that the document has, and at least ``threshold``.  Texts are lower-cased and split at
-    white space.  A text of fewer words than ``size`` is one shingle, so a short item is found in a
-    document of just these words.  Null or blank texts hold and match nothing.  Each document row and
-    each distinct item row counts for itself; a null id stays null.
+    white space, and taken whole, however long.  A text of fewer words than ``size`` is one shingle, so a
+    shorter item is found in a document of just these words.  Null or blank texts hold and match nothing.
+    Each document row and each distinct item row counts for itself; a null id stays null.  Other columns
+    are ignored; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "decontaminate")
-    held = scratch.write(sketches(items, threshold, size))
-    sketch = held.select("part", F.explode("sketch").alias("hash"), "item")
-    bound = sketch.agg(F.max("hash").alias("most"), F.count(F.lit(1)).alias("n")).first()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.xxhash64("text").alias("h"), "text")
-    hashed = rows.select(*_KEY, word_hashes(F.col("text")).alias("wh")).select(*_KEY, F.explode(shingle_hashes(F.col("wh"), size)).alias("hash"))
-    sampled = hashed.filter(F.col("hash") <= F.lit(bound["most"] if bound["n"] else -(1 << 63)))
-    small = F.broadcast(sketch.select("hash", "item")) if bound["n"] <= BROADCAST_ROWS else sketch.select("hash", "item")
-    candidates = scratch.write(sampled.join(small, "hash").select(*_KEY, "item").distinct())
-    per_doc = candidates.groupBy(*_KEY).agg(F.collect_set("item").alias("items"))
-    per_doc = F.broadcast(per_doc) if candidates.count() <= BROADCAST_ROWS else per_doc.hint("shuffle_hash")
-    met = rows.join(per_doc, _KEY).select("doc_id", "items", words(F.col("text")).alias("ws"))
-    pairs = met.select("doc_id", F.array_distinct(shingles(F.col("ws"), size)).alias("has"), F.explode("items").alias("item"))
-    known = held.select("item", "item_id", "shingles")
-    shared = pairs.join(known, "item").select("doc_id", "item_id", F.size(F.array_intersect("shingles", "has")).cast("long").alias("n_shared"), F.size("shingles").cast("long").alias("n_shingles"))
-    found = shared.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).filter(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9))
-    out = checkpoint(found)
-    scratch.drop()
-    return out
+    with Scratch(docs.sparkSession, "decontaminate") as scratch:
+        held = scratch.write(sketches(items, threshold, size))
+        sketch = held.select(F.explode("sketch").alias("hash"), "item", "hits")
+        bound = sketch.agg(F.max("hash").alias("most"), F.count(F.lit(1)).alias("n")).first()
+        n_shingles = held.agg(F.sum(F.size("shingles"))).first()[0] or 0
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.xxhash64("text").alias("h"), "text")
+        hashed = rows.select(*_KEY, word_hashes(F.col("text")).alias("wh")).select(*_KEY, F.explode(shingle_hashes(F.col("wh"), size)).alias("hash"))
+        sampled = hashed.filter(F.col("hash") <= F.lit(bound["most"] if bound["n"] else -(1 << 63)))
+        hits = _met(sampled, sketch, "hash", bound["n"]).groupBy(*_KEY, "item", "hits").agg(F.count_distinct("hash").alias("n"))
+        candidates = scratch.write(hits.filter("n >= hits").select(*_KEY, "item"))
+        few = candidates.select(*_KEY).distinct()
+        few = F.broadcast(few) if candidates.count() <= BROADCAST_ROWS else few
+        met = rows.join(few, _KEY)
+        has = met.select(*_KEY, F.explode(F.array_distinct(shingles(words(F.col("text")), size))).alias("shingle")).distinct()
+        want = _met(candidates, held.select("item", F.explode("shingles").alias("shingle")), "item", n_shingles)
+        shared = want.join(has, [*_KEY, "shingle"]).groupBy(*_KEY, "item").agg(F.count(F.lit(1)).alias("n_shared"))
+        sizes = held.select("item", "item_id", F.size("shingles").cast("long").alias("n_shingles"))
+        enough = F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)
+        found = scratch.write(_met(shared, sizes, "item", n_shingles).filter(enough))
+        # rows that repeat count each
+        each = rows.select("doc_id", *_KEY).join(F.broadcast(found) if found.count() <= BROADCAST_ROWS else found, _KEY)
+        return checkpoint(each.select("doc_id", "item_id", "n_shared", "n_shingles", (F.col("n_shared") / F.col("n_shingles")).alias("containment")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, size: int = SIZE) -> DataFrame:
-    """Documents that hold no item; of documents with equal ids all go if one holds an item."""
+    """Documents that hold no item; of documents with equal ids all go if one holds an item.
+
+    Columns stay as they are, whatever their names; without items nothing goes.
+    """
     hit = contained(docs, items, threshold, size).select("doc_id").distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
 

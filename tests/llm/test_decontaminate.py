@@ -1,7 +1,7 @@
 import math
 import random
 
-from quillspan.llm.decontaminate import contained, decontaminate
+from quillspan.llm.decontaminate import contained, decontaminate, sketches
 
 DOCS, ITEMS = "doc_id long, text string, item long", "item_id long, text string, hash long"
 
@@ -47,7 +47,14 @@ def test_removal_and_empty_tables(spark):
     assert contained(docs.limit(0), items).collect() == []
 
 
+def test_sketches_follow_the_size_partition(spark):
+    items = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n + 4)), 1) for n in (1, 2, 3, 7, 8, 31, 32, 100)], ITEMS)
+    got = {r.item_id: (len(r.shingles), r.hits, len(r.sketch)) for r in sketches(items).collect()}
+    assert got == {n: (n, hits, n - math.ceil(0.8 * n - 1e-9) + hits) for n, hits in ((1, 1), (2, 1), (3, 1), (7, 1), (8, 2), (31, 2), (32, 3), (100, 3))}
+
+
 def test_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr("quillspan.llm.decontaminate.BROADCAST_ROWS", 0)
     docs = spark.createDataFrame([(1, "x a b c d e f", 1)] * 2, DOCS)
     assert contained(docs, spark.createDataFrame([(7, "A b c d e", 1)], ITEMS)).count() == 2
+    test_against_brute_force(spark)
