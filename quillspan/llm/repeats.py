@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.llm import repeats_kernel as kernel
-from quillspan.llm.common import Scratch, checkpoint, partitions, split_join, text_blocks
+from quillspan.llm.common import Scratch, checkpoint, partitions, release, split_join, text_blocks
 
 MATCH = 400
 #: Words of a passage; shorter ones are left alone.
@@ -175,6 +175,14 @@ class SuffixFamily:
             found = part if found is None else found.union(part)
         return found.groupBy("key").agg(F.max("n").alias("n"))
 
+    def shed(self, *parts: str) -> None:
+        """Drop tables that nothing will read again, unless the family is to stay."""
+        for part in parts if not self.folder else ():
+            for table in getattr(self, part):
+                if table is not None:
+                    self.store.drop(table)
+            getattr(self, part).clear()
+
     def _save(self) -> None:
         held = [("level", i, x) for i, x in enumerate(self.levels) if x is not None]
         held += [(kind, i, x) for kind, xs in (("hits", self.hits), ("suffixes", self.suffixes)) for i, x in enumerate(xs)]
@@ -223,6 +231,7 @@ def repeated_spans(rows: DataFrame, family: SuffixFamily, scratch: Scratch) -> D
     for more in family.suffixes[1:]:
         suffixes = suffixes.unionByName(more)
     repeated = scratch.write(family.repeated())
+    family.shed("levels", "hits")
     listed = split_join(suffixes, repeated, ["key"], suffixes.count()).groupBy(*KEY).agg(F.collect_set("at").alias("want"))
     every, most, found = None, 0, listed
     for following in (*RUNS, None):
@@ -231,6 +240,7 @@ def repeated_spans(rows: DataFrame, family: SuffixFamily, scratch: Scratch) -> D
         hits, left = _settle(runs, scratch, following is None)
         every = hits if every is None else every.union(hits)
         scratch.drop(runs)
+        family.shed("suffixes")
         if following:
             found = left.groupBy(*KEY).agg(F.flatten(F.array_sort(F.collect_set(F.array("lo", "hi", "at")))).alias("want"))
             most = following
@@ -294,6 +304,7 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, batches: int = BATCHES,
         if known is not None:
             every = every.unionByName(known.select("doc_id", "text"))
         rows = scratch.deal(_identified(every), *KEY)
+        release(docs.sparkSession)
         spans = repeated_spans(rows, family, scratch)
         joined = rows.join(spans, KEY, "left").select("doc_id", "text", "spans")
         return checkpoint(joined.mapInArrow(_cut(family.matches), f"doc_id {kind}, n_bytes long, removed array<long>, passages array<long>, kept binary"))
