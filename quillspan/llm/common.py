@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -135,9 +136,15 @@ def split_join(rows: DataFrame, others: DataFrame, on: list[str], total: int, n:
     return cold.unionByName(rows.join(known, on))
 
 
-def release(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+_released = [0.0]
+
+
+def release(spark: SparkSession, every: float = 5.0) -> None:
+    """Collect garbage in the driver, upon which Spark deletes shuffle files nobody can read again; now and then is enough."""
+    if time.monotonic() - _released[0] >= every:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _released[0] = time.monotonic()
 
 
 def partitions(spark: SparkSession) -> int:
