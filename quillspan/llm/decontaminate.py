@@ -99,8 +99,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, s
         candidates = scratch.write(hits.filter("n >= hits").select(*_KEY, "item"))
         few = candidates.select(*_KEY).distinct()
         few = F.broadcast(few) if candidates.count() <= BROADCAST_ROWS else few
-        met = rows.join(few, _KEY)
-        has = met.select(*_KEY, F.explode(F.array_distinct(shingles(words(F.col("text")), size))).alias("shingle")).distinct()
+        # words are cut in a step of their own, since each shingle reads them several times
+        met = rows.join(few, _KEY).select(*_KEY, words(F.col("text")).alias("ws"))
+        has = met.select(*_KEY, F.explode(F.array_distinct(shingles(F.col("ws"), size))).alias("shingle")).distinct()
         want = _met(candidates, held.select("item", F.explode("shingles").alias("shingle")), "item", n_shingles)
         shared = want.join(has, [*_KEY, "shingle"]).groupBy(*_KEY, "item").agg(F.count(F.lit(1)).alias("n_shared"))
         sizes = held.select("item", "item_id", F.size("shingles").cast("long").alias("n_shingles"))
