@@ -30,10 +30,13 @@ without would yet you your yours yourself yourselves
 NEGATIONS = ("cannot", "never", "no", "none", "not")
 STOP_WORDS = tuple(w for w in _STOP.split() if w not in NEGATIONS)
 
-SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z0-9])"
-LOOSE_END = r"(?<=[.!?])\s+"
+# White space as Python's patterns know it, which Java's own class is not; and the patterns that results depend on.
+SPACE_CHARS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE = f"[{SPACE_CHARS}]"
+SENTENCE_END = rf"(?<=[.!?]){SPACE}+(?=[A-Z0-9])"
+LOOSE_END = rf"(?<=[.!?]){SPACE}+"
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-HEADINGS = r"references|bibliography|works\s+cited|literature\s+cited|reference\s+list"
+HEADINGS = rf"references|bibliography|works{SPACE}+cited|literature{SPACE}+cited|reference{SPACE}+list"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -42,11 +45,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|(?<!\s)\s+$", "")
+    return F.regexp_replace(c, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
+
+
+def rstrip(c: Column) -> Column:
+    return F.regexp_replace(c, rf"(?<!{SPACE}){SPACE}+$", "")
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+", "")
+    return F.regexp_replace(c, rf"^{SPACE}+", "")
 
 
 def tokens(c: Column) -> Column:
@@ -61,7 +68,7 @@ def blank(c: Column) -> Column:
 def word_count_tokens(c: Column) -> Column:
     """Token count without a tokenizer: twice the number of words."""
     s = strip(c)
-    return F.when(s == "", 0).otherwise(2 * F.size(F.split(s, r"\s+")))
+    return F.when(s == "", 0).otherwise(2 * F.size(F.split(s, f"{SPACE}+")))
 
 
 def highlight(context: Column, start: Column, end: Column) -> Column:

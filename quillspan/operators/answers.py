@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.config import Settings
-from quillspan.functions.text import LOOSE_END, let, lstrip, strip
+from quillspan.functions.text import LOOSE_END, let, lstrip, rstrip, strip
 from quillspan.operators.scoring import cosines, term_counts
 
 
@@ -42,9 +44,24 @@ def fallback_answers(contexts: DataFrame, question_terms: DataFrame, cfg: Settin
 
 def softmax_at(logits: Column, i: Column) -> Column:
     """Softmax over all of an array, at the 0-based place i."""
-    top = F.array_max(logits).cast("double")
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
-    return F.exp(F.get(logits, i).cast("double") - top) / total
+
+    def share(top: Column) -> Column:
+        total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top))
+        return F.exp(F.get(logits, i).cast("double") - top) / total
+
+    return let(F.array_max(logits).cast("double"), share)
+
+
+def sliding_max(values: Column, width: int) -> Column:
+    """The largest of each element and the width - 1 after it, by doubling; nulls count for nothing."""
+
+    def widen(v: Column, reach: int) -> Column:
+        step = min(reach, width - reach)
+        if not step:
+            return v
+        return let(F.transform(v, lambda x, i: F.greatest(x, F.get(v, i + step))), lambda w: widen(w, reach + step))
+
+    return let(values, lambda v: widen(v, 1))
 
 
 def decode_spans(rows: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -56,14 +73,23 @@ def decode_spans(rows: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     four digits, is below the bound.
     """
     places = F.filter(F.transform("seq_ids", lambda s, i: F.when(s == 1, i)), lambda i: i.isNotNull())
-    low, high = F.array_min(places), F.array_max(places)
 
-    def best_from(i: Column) -> Column:
-        ends = F.sequence(i, F.least(i + cfg.answer_tokens - 1, high))
-        return F.array_max(F.transform(ends, lambda j: F.struct((F.get("start_logits", i).cast("double") + F.get("end_logits", j)).alias("score"), (-i).alias("i"), (-j).alias("j"))))
+    def best(bounds: Column) -> Column:
+        ends = sliding_max(F.transform("end_logits", lambda e, i: F.when(i <= bounds["high"], e)), cfg.answer_tokens)
+
+        def best_of(ahead: Column) -> Column:
+            def best_from(i: Column) -> Column:
+                return F.struct((F.get("start_logits", i).cast("double") + F.get(ahead, i)).alias("score"), (-i).alias("back"), F.get(ahead, i).alias("end"), bounds["high"].alias("high"))
+
+            return F.array_max(F.transform(F.sequence(bounds["low"], bounds["high"]), best_from))
 
-    best = F.when(F.size(places) > 0, F.array_max(F.transform(F.sequence(low, high), best_from)))
-    found = rows.withColumn("b", best).select("*", F.col("b.score").alias("best"), (-F.col("b.i")).alias("i"), (-F.col("b.j")).alias("j"))
+        return F.when(bounds["low"].isNotNull(), let(ends, best_of))
+
+    # bound once: the first and the last token of the context, then the best start
+    bounds = let(places, lambda p: F.struct(F.array_min(p).alias("low"), F.array_max(p).alias("high")))
+    found = rows.withColumn("b", let(bounds, best)).select("*", F.col("b.score").alias("best"), (-F.col("b.back")).alias("i"))
+    ahead = F.sequence(F.col("i"), F.least(F.col("i") + cfg.answer_tokens - 1, F.col("b.high")))
+    found = found.withColumn("j", F.array_min(F.filter(ahead, lambda j: F.get("end_logits", j) == F.col("b.end"))))
     null_score = F.get("start_logits", F.lit(0)).cast("double") + F.get("end_logits", F.lit(0))
     confidence = F.round(softmax_at(F.col("start_logits"), F.col("i")) * softmax_at(F.col("end_logits"), F.col("j")), 4)
     s, e = F.get("offsets", F.col("i"))["s"], F.get("offsets", F.col("j"))["e"]
@@ -71,9 +97,24 @@ def decode_spans(rows: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     raw = F.when(F.col("e") > F.col("s"), F.substring("context", F.col("s") + 1, F.col("e") - F.col("s"))).otherwise("")
     found = found.withColumn("raw", raw)
     start = F.col("s") + F.length("raw") - F.length(lstrip(F.col("raw")))
-    end = F.col("e") - (F.length("raw") - F.length(F.regexp_replace("raw", r"(?<!\s)\s+$", "")))
+    end = F.col("e") - (F.length("raw") - F.length(rstrip(F.col("raw"))))
     accepted = F.col("best").isNotNull() & (F.col("best") >= F.col("null_score")) & (F.col("confidence") >= cfg.min_confidence)
     answer = strip(F.col("raw"))
     return found.select("doc_id", "q_id", "i", "j", "best", "null_score", answer.alias("answer"), start.alias("char_start"), end.alias("char_end"), "confidence", (answer != "").alias("found"), F.coalesce(accepted, F.lit(False)).alias("accepted"))
 
 
+def read_answers(contexts: DataFrame, question_terms: DataFrame, cfg: Settings = Settings(), reader: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, q_id, answer, char_start, char_end, confidence, found of contexts(doc_id, q_id, context).
+
+    reader: a plug-in that adds start_logits, end_logits, seq_ids and offsets to each row; a row that it
+    leaves out, or gives nulls, counts as one it could not read.  A span that is rejected, and all without
+    a reader, fall back to the nearest sentence.
+    """
+    fallback = fallback_answers(contexts, question_terms, cfg)
+    if reader is None:
+        return fallback
+    names = ("answer", "char_start", "char_end", "confidence", "found")
+    # no filter on the gates: it would be pushed below the decoding and repeat it
+    spans = decode_spans(reader(contexts.select("doc_id", "q_id", "context")), cfg).select("doc_id", "q_id", F.struct("accepted", *names).alias("span"))
+    joined = fallback.join(spans, ["doc_id", "q_id"], "left")
+    return joined.select("doc_id", "q_id", *(F.when(F.col("span.accepted"), F.col(f"span.{c}")).otherwise(F.col(c)).alias(c) for c in names))

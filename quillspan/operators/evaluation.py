@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import let, strip
+from quillspan.functions.text import SPACE, let, strip
 
 PUNCTUATION = r"!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 
@@ -15,7 +15,7 @@ def answer_tokens(c: Column) -> Column:
         kept = F.filter(F.transform(words, lambda w: F.regexp_replace(w, f"^[{PUNCTUATION}]+|[{PUNCTUATION}]+$", "")), lambda w: w != "")
         return let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(words))
 
-    return let(F.filter(F.split(F.lower(strip(c)), r"\s+"), lambda w: w != ""), bare)
+    return let(F.filter(F.split(F.lower(strip(c)), f"{SPACE}+"), lambda w: w != ""), bare)
 
 
 def token_f1(pred: Column, gold: Column) -> Column:
@@ -62,14 +62,41 @@ def configurations(spark) -> DataFrame:
     return modes.crossJoin(F.broadcast(flags)).withColumn("label", F.concat("retrieval_mode", F.when(F.col("use_reranker"), "+reranker").otherwise("")))
 
 
-def markdown_rows(summaries: DataFrame) -> DataFrame:
-    """One table line per summary row."""
-    return summaries.select("label", F.format_string("| %s | %.4f | %.4f | %.4f |", "label", "recall_at_5", "exact_match", "f1").alias("line"))
+#: Heads of the summary table and their least widths.
+MARKDOWN_COLUMNS = (("Stage", 7), ("Recall@5", 10), ("Exact Match", 13), ("F1", 6))
+
+
+def markdown_lines(summaries: DataFrame, title: str) -> DataFrame:
+    """place, line of a table of summaries (label, total_samples, recall_at_5, exact_match, f1), by label, under a title with the number of samples.
+
+    Cells are padded to the longest label.  Summaries are a handful of rows, so a window over all of them is fine.
+    """
+    every = Window.partitionBy(F.lit(0))
+    rows = summaries.withColumns({"width": F.greatest(F.max(F.length("label")).over(every) + 2, F.lit(MARKDOWN_COLUMNS[0][1])), "nth": F.row_number().over(every.orderBy("label"))})
+    widths = [F.col("width"), *(F.lit(w) for _, w in MARKDOWN_COLUMNS[1:])]
+
+    def line(cells: list[Column]) -> Column:
+        return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.rpad(c, w, " ") for c, w in zip(cells, widths))), F.lit(" |"))
+
+    body = rows.select((F.col("nth") + 3).alias("place"), line([F.col("label"), *(F.format_string("%.4f", c) for c in ("recall_at_5", "exact_match", "f1"))]).alias("line"))
+    head = rows.filter("nth = 1").select(
+        F.posexplode(F.array(
+            F.concat(F.lit(f"# {title}  ("), F.col("total_samples").cast("string"), F.lit(" samples)")), F.lit(""),
+            line([F.lit(name) for name, _ in MARKDOWN_COLUMNS]), F.concat(F.lit("| "), F.concat_ws(" | ", *(F.repeat(F.lit("-"), w) for w in widths)), F.lit(" |")),
+        )).alias("place", "line")
+    )
+    return head.unionByName(body)
+
+
+def peak(readings: DataFrame, *by: str) -> DataFrame:
+    """The largest of readings(size, ...), as written, and its bytes: peak, n_bytes.  Of equal ones the later in the alphabet."""
+    sized = readings.withColumn("n_bytes", size_bytes(F.col("size")))
+    return sized.groupBy(*by).agg(F.max_by("size", F.struct("n_bytes", "size")).alias("peak"), F.max("n_bytes").alias("n_bytes"))
 
 
 def size_bytes(c: Column) -> Column:
     """Bytes of a size such as ``234.5MiB``; 0 if it is none."""
-    pattern = r"(?i)^\s*([\d.]+)\s*([KMGTPEi]*B)"
+    pattern = rf"(?i)^{SPACE}*([\d.]+){SPACE}*([KMGTPEi]*B)"
     value, unit = F.regexp_extract(c, pattern, 1), F.upper(F.regexp_extract(c, pattern, 2))
     factor = F.lit(1.0)
     for power, letter in enumerate("KMG", start=1):

@@ -24,19 +24,19 @@ def row_tolerance(words: DataFrame) -> DataFrame:
 def rows(words: DataFrame) -> DataFrame:
     """Words with row_id.
 
-    By y0 and the given order, a word joins the row at hand if it lies within the tolerance of the
-    row's first word, else it begins the next row; so the pass is a fold over the page.
+    By y0, a word joins the row at hand if it lies within the tolerance of the row's first word, else it
+    begins the next row; so the pass is a fold over the page, which keeps one place a row.
     """
-    page = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y0", "seq"))).alias("ws")).join(row_tolerance(words), PAGE)
-    start = F.expr("named_struct('anchor', cast(null as double), 'row', -1, 'out', cast(array() as array<int>))")
+    page = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list("y0")).alias("ys")).join(row_tolerance(words), PAGE)
+    start = F.expr("cast(array() as array<double>)")
 
-    def step(acc: Column, w: Column) -> Column:
-        new = acc["anchor"].isNull() | (F.abs(w["y0"] - acc["anchor"]) > F.col("tol"))
-        row = acc["row"] + new.cast("int")
-        return F.struct(F.when(new, w["y0"]).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["out"], F.array(row)).alias("out"))
+    def step(anchors: Column, y: Column) -> Column:
+        return F.when((F.size(anchors) == 0) | (F.abs(y - F.element_at(anchors, -1)) > F.col("tol")), F.concat(anchors, F.array(y))).otherwise(anchors)
 
-    ids = page.withColumn("ids", F.aggregate("ws", start, step)["out"]).select(*PAGE, F.explode(F.arrays_zip("ws", "ids")).alias("z")).select(*PAGE, F.col("z.ws.seq").alias("seq"), F.col("z.ids").alias("row_id"))
-    return words.join(ids, [*PAGE, "seq"])
+    # a row's words lie between its first word and that of the next row
+    anchors = page.select(*PAGE, F.aggregate("ys", start, step).alias("anchors"))
+    row = F.size(F.filter("anchors", lambda a: a <= F.col("y0"))) - 1
+    return words.join(anchors, PAGE).withColumn("row_id", row).drop("anchors")
 
 
 def gaps(with_rows: DataFrame) -> DataFrame:
@@ -61,11 +61,11 @@ def gutters(with_rows: DataFrame) -> DataFrame:
 
 
 def reading_order(words: DataFrame, max_pages: int = 25) -> DataFrame:
-    """Words of the first pages with ord, their place on the page: left column first, then by y0 and x0."""
+    """Words of the first pages with ord, their place in the document: by page, left column first, then by y0 and x0."""
     words = words.filter(F.col("page") < max_pages)
     joined = words.join(gutters(rows(words)), PAGE)
     right = F.coalesce(F.col("x0") >= F.col("gutter"), F.lit(False))
-    return joined.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy(right, "y0", "x0", "seq")))
+    return joined.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", right, "y0", "x0", "seq")) - 1)
 
 
 def page_texts(ordered: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.config import NO_TEXT, Settings
-from quillspan.functions.text import HEADINGS, SENTENCE_END, lstrip, strip
+from quillspan.functions.text import HEADINGS, SENTENCE_END, SPACE, SPACE_CHARS, lstrip, strip
 
 
 def _by_doc():
@@ -85,9 +85,9 @@ def mark_references(docs: DataFrame, sentences: DataFrame, layout: bool = True)
     """
     if not layout:
         return sentences.withColumn("past_references", F.lit(False))
-    heading = F.col("sent").rlike(rf"(?i)^\s*({HEADINGS})\s*[.:]*\s*$") & (F.length("sent") <= 40)
+    heading = F.col("sent").rlike(rf"(?i)^{SPACE}*({HEADINGS}){SPACE}*[.:]*{SPACE}*$") & (F.length("sent") <= 40)
     first = sentences.filter(heading).groupBy("doc_id").agg(F.min("sent_idx").alias("by_sentence"))
-    pattern = rf"(?im)(?:^|\s|\.)({HEADINGS})(?=[\s\[\d]|$)"
+    pattern = rf"(?im)(?:^|{SPACE}|\.)({HEADINGS})(?=[{SPACE_CHARS}\[\d]|$)"
     cut_at = F.floor(F.lit(0.6) * F.length("text")).cast("int")
     tail = docs.select("doc_id", cut_at.alias("cut_at"), F.expr("substring(text, cast(floor(0.6 * length(text)) as int) + 1)").alias("tail"))
     at = F.regexp_instr("tail", F.lit(pattern))

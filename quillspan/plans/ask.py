@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.config import TOO_LARGE, Settings
 from quillspan.functions.text import blank, tokens
-from quillspan.operators import answers, context, scoring, sentences, windows
+from quillspan.operators import answers, context, evaluation, layout, scoring, sentences, windows
 from quillspan.plans.cut import cut
 
 
@@ -42,13 +42,14 @@ def ranked(corpus: Corpus, terms: DataFrame, cfg: Settings = Settings()) -> Data
     return scoring.ranked(scoring.cosines(corpus.terms, corpus.counts, terms, ["doc_id"], "win_id"), corpus.counts, cfg)
 
 
-def contexts(corpus: Corpus, questions: DataFrame, cfg: Settings = Settings(), scorer=None) -> DataFrame:
+def contexts(corpus: Corpus, questions: DataFrame, cfg: Settings = Settings(), scorer=None, own: DataFrame | None = None) -> DataFrame:
     """doc_id, q_id, context, window_offsets, window_sent_offsets, retrieval_confidence of pairs with a context.
 
     scorer: a plug-in that adds a column score to rows (doc_id, q_id, win_id, window, ...).  Without one
     a reranker keeps its pool as it is.  The pairs without any term on either side get the first window.
+    own: the questions' terms, if each belongs to the document of its own id only.
     """
-    terms = question_terms(questions)
+    terms = question_terms(questions) if own is None else own
     best = cut(ranked(corpus, terms, cfg))
     rows = context.chosen_windows(scoring.select_pool(best, cfg) if cfg.use_reranker else scoring.select_fast(best, cfg), corpus.windows)
     if cfg.use_reranker and scorer is not None:
@@ -59,26 +60,29 @@ def contexts(corpus: Corpus, questions: DataFrame, cfg: Settings = Settings(), s
     found = context.assemble(rows).withColumn("retrieval_confidence", F.lit(1.0))
     wordless = corpus.counts.select("doc_id").join(corpus.terms.select("doc_id").distinct(), "doc_id", "left_anti")
     empty = questions.filter(F.size(tokens(F.col("question"))) == 0).select("q_id")
-    first = wordless.crossJoin(F.broadcast(empty)).withColumn("ids", F.array(F.lit(0)))
+    apart = wordless.crossJoin(empty) if own is None else wordless.join(empty, wordless["doc_id"] == empty["q_id"])
+    first = apart.withColumn("ids", F.array(F.lit(0)))
     return found.unionByName(context.assemble(context.chosen_windows(first, corpus.windows)).withColumn("retrieval_confidence", F.lit(0.0)))
 
 
-def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words: DataFrame | None = None, scorer=None) -> DataFrame:
+def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words: DataFrame | None = None, scorer=None, reader=None) -> DataFrame:
     """A response for each document and question: answer, context, places, confidences, page and error.
 
-    docs(doc_id, text), questions(q_id, question).  Blank questions, empty and too large documents are
-    answered without being read.  Without a model the answer is the nearest sentence of the context.
+    docs(doc_id, text[, error]), questions(q_id, question).  Blank questions, empty and too large documents
+    and those with an error are answered without being read.  reader: a model as in ``answers.read_answers``;
+    without one the answer is the nearest sentence of the context.
     """
     large = F.octet_length(F.coalesce("text", F.lit(""))) > cfg.max_bytes
-    sized = docs.select("doc_id", "text", large.alias("large"))
+    error = F.coalesce(F.col("error") if "error" in docs.columns else F.lit(None).cast("string"), F.when(large, TOO_LARGE))
+    sized = docs.select("doc_id", "text", error.alias("error"))
     asked = questions.filter(~blank(F.col("question")))
-    corpus = Corpus.of(sized.filter(~F.col("large")).select("doc_id", "text"), cfg, words)
+    corpus = Corpus.of(sized.filter("error is null").select("doc_id", "text"), cfg, words)
     found = cut(contexts(corpus, asked, cfg, scorer))
-    answered = answers.fallback_answers(found, question_terms(asked), cfg)
+    answered = answers.read_answers(found, question_terms(asked), cfg, reader)
     pages = corpus.sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "page"))), lambda s: s["page"]).alias("pages"))
     full = found.join(answered, ["doc_id", "q_id"]).join(pages, "doc_id")
     full = full.withColumn("page_number", context.page_of(F.col("char_start"), F.col("window_offsets"), F.col("window_sent_offsets"), F.col("pages"))["page_number"])
-    every = sized.select("doc_id", "large").crossJoin(F.broadcast(questions.select("q_id", blank(F.col("question")).alias("void"))))
+    every = sized.select("doc_id", "error").crossJoin(questions.select("q_id", blank(F.col("question")).alias("void")))
     out = every.join(full, ["doc_id", "q_id"], "left")
     return out.select(
         "doc_id", "q_id",
@@ -86,5 +90,74 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
         F.coalesce("char_start", F.lit(-1)).alias("char_start"), F.coalesce("char_end", F.lit(-1)).alias("char_end"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("found", F.lit(False)).alias("found"),
         F.coalesce("retrieval_confidence", F.lit(0.0)).alias("retrieval_confidence"), "page_number",
-        F.when(F.col("large") & ~F.col("void"), TOO_LARGE).alias("error"),
+        F.when(~F.col("void"), F.col("error")).alias("error"),
     )
+
+
+def ask_boxes(boxes: DataFrame, questions: DataFrame, cfg: Settings = Settings(), scorer=None, reader=None, files: DataFrame | None = None) -> DataFrame:
+    """Responses from word boxes(doc_id, page, seq, x0, y0, x1, y1, word): reading order, text, answers and their pages.
+
+    files(doc_id, error), if given, adds documents that have no words or were not read: their text is empty
+    and their error is told.
+    """
+    ordered = sentences.word_offsets(cut(layout.reading_order(boxes, cfg.max_pages)))
+    docs = layout.document_texts(ordered)
+    if files is not None:
+        docs = files.select("doc_id", "error").join(docs, "doc_id", "left")
+    return ask(docs, questions, cfg, ordered, scorer, reader)
+
+
+def evaluate(items: DataFrame, docs: DataFrame, configurations: dict[str, Settings], scorer=None, reader=None) -> DataFrame:
+    """Scores of each item under each configuration: label, the item's columns, the response's, retrieval_hit, exact_match, f1.
+
+    items(path, question, gold_answer); docs(path, text).  Each question is asked of its own document only.
+    An item whose document is missing has an error, no answer, and counts.
+    """
+    held = cut(items.withColumn("q_id", F.xxhash64("path", "question")))
+    missing = F.when(F.col("text").isNull(), "File not found")
+    pairs = held.select("path", "question", "q_id").distinct().join(docs.select("path", "text").dropDuplicates(["path"]), "path", "left").withColumn("missing", missing)
+    # a document for each pair, so that each document meets its own question alone
+    scored = None
+    asked = cut(pairs.select(F.col("q_id").alias("doc_id"), "q_id", "question", "text", "missing"))
+    for label, cfg in configurations.items():
+        got = ask_own(asked.filter("missing is null"), cfg, scorer, reader).select("q_id", F.col("answer").alias("predicted_answer"), "context", "confidence", "page_number")
+        rows = held.join(asked.select("q_id", F.col("missing").alias("error")), "q_id").join(got, "q_id", "left").withColumn("label", F.lit(label))
+        made = evaluation.item_scores(rows.fillna("", ["predicted_answer", "context"]))
+        scored = made if scored is None else scored.unionByName(made)
+    return scored
+
+
+def ask_own(pairs: DataFrame, cfg: Settings = Settings(), scorer=None, reader=None) -> DataFrame:
+    """Responses of pairs(doc_id, q_id, question, text) with doc_id = q_id: each text is asked its own question only."""
+    corpus = Corpus.of(pairs.select("doc_id", "text"), cfg)
+    terms = question_terms(pairs.filter(~blank(F.col("question"))))
+    # a question's terms stay with its own document: the term carries the pair's id
+    own = lambda df, key: df.withColumn("tok", F.concat_ws(" ", F.col(key).cast("string"), "tok"))
+    mine = Corpus(corpus.sentences, corpus.windows, cut(own(corpus.terms, "doc_id")), corpus.counts)
+    found = cut(contexts(mine, pairs.select("q_id", "question"), cfg, scorer, own(terms, "q_id")).filter("doc_id = q_id"))
+    answered = answers.read_answers(found, terms, cfg, reader)
+    pages = corpus.sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "page"))), lambda s: s["page"]).alias("pages"))
+    full = found.join(answered, ["doc_id", "q_id"]).join(pages, "doc_id")
+    return full.withColumn("page_number", context.page_of(F.col("char_start"), F.col("window_offsets"), F.col("window_sent_offsets"), F.col("pages"))["page_number"])
+
+
+def in_order_asked(responses: DataFrame, questions: DataFrame) -> DataFrame:
+    """Responses sorted by document and then as the questions are numbered, whatever order they were answered in; repeated questions answer as often."""
+    return questions.select("q_id").join(responses, "q_id").orderBy("doc_id", "q_id")
+
+
+def smoke(boxes: DataFrame, questions: DataFrame) -> DataFrame:
+    """label, layout, retrieval_mode, use_reranker, n_pairs, n_found of all twelve settings; one that fails says why in error and has no counts.
+
+    The three modes are one and the same, so each run stands for three.
+    """
+    spark, rows = boxes.sparkSession, []
+    for layout_flag in (True, False):
+        for reranker in (False, True):
+            try:
+                found = ask_boxes(boxes, questions, Settings(use_layout=layout_flag, use_reranker=reranker))
+                counts = (*found.agg(F.count(F.lit(1)), F.count_if("found")).first(), None)
+            except Exception as problem:  # a smoke test tells what failed and goes on
+                counts = (None, None, f"{type(problem).__name__}: {problem}")
+            rows += [(f"layout={layout_flag} mode={mode} rerank={reranker}", layout_flag, mode, reranker, *counts) for mode in ("tfidf", "dense", "hybrid")]
+    return spark.createDataFrame(rows, "label string, layout boolean, retrieval_mode string, use_reranker boolean, n_pairs long, n_found long, error string")

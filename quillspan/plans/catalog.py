@@ -131,11 +131,35 @@ def q_column_reorder(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_span_decode(spark: SparkSession, d: str) -> DataFrame:
-    return answers.decode_spans(tables.derived_logits(_docs(spark, d), _questions(spark, d)))
+    """Spans of whole texts, every question asked of every document."""
+    pairs = _docs(spark, d).crossJoin(_questions(spark, d).select("q_id")).select("doc_id", "q_id", F.coalesce("text", F.lit("")).alias("context"))
+    return answers.decode_spans(tables.derived_logits(pairs))
+
+
+def q_ask_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Answers with a reader: spans that pass the gates, else the nearest sentence."""
+    return _response(ask.ask(_docs(spark, d), _questions(spark, d), reader=tables.derived_logits))
+
+
+def q_layout_answers(spark: SparkSession, d: str) -> DataFrame:
+    """From word boxes of several pages to answers and their pages."""
+    boxes = tables.derived_words(_docs(spark, d))
+    return ask.ask_boxes(boxes, _questions(spark, d)).filter("found").select("doc_id", "q_id", "char_start", "char_end", "page_number", F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
+
+
+def q_eval_run(spark: SparkSession, d: str) -> DataFrame:
+    """An evaluation set asked of its own documents under two settings, some of them missing, and the scores of each run."""
+    pairs = tables.neighbours(cut(q_sentences(spark, d))).filter("sent_idx < 2")
+    items = pairs.select(F.concat(F.lit("paper"), F.col("doc_id").cast("string")).alias("path"), F.col("gold_answer").alias("question"), "gold_answer")
+    docs = _docs(spark, d).filter("doc_id % 10 <> 3").select(F.concat(F.lit("paper"), F.col("doc_id").cast("string")).alias("path"), "text")
+    scored = ask.evaluate(items, docs, {"tfidf": Settings(), "tfidf+reranker": RERANK})
+    return evaluation.summary(scored, "label")
 
 
 def q_rerank_prune(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.rerank_prune(tables.derived_rerank_scores(_docs(spark, d), _questions(spark, d)))
+    """Every window of every document, scored for every question."""
+    made = cut(windows.build_windows(cut(q_sentences(spark, d))).select("doc_id", "win_id"))
+    return scoring.rerank_prune(tables.derived_rerank_scores(made, _questions(spark, d)))
 
 
 def q_token_f1(spark: SparkSession, d: str) -> DataFrame:
@@ -188,5 +212,9 @@ def q_size_strings(spark: SparkSession, d: str) -> DataFrame:
     return tables.table(spark, d, "documents").select("doc_id", shown.alias("size")).select("doc_id", "size", evaluation.size_bytes(F.col("size")).alias("n_bytes"))
 
 
+def q_peak_size(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.peak(q_size_strings(spark, d).withColumn("run", F.pmod("doc_id", F.lit(7))), "run")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 ORACLE_SQL: dict[str, str] = oracle.SQL

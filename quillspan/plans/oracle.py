@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from quillspan.config import NO_TEXT, TOO_LARGE
-from quillspan.functions.text import HEADINGS, STOP_WORDS
+from quillspan.functions.text import HEADINGS as _UNICODE_HEADINGS
+from quillspan.functions.text import SPACE, STOP_WORDS
 
+HEADINGS = _UNICODE_HEADINGS.replace(SPACE, r"\s")
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
@@ -124,18 +126,16 @@ scored AS (SELECT u.doc_id, u.sent_idx, NOT failed AND g <> '' AND strpos(lower(
   CASE WHEN failed THEN 0.0 WHEN p = g THEN CASE WHEN p <> '' THEN 1.0 ELSE 0.0 END WHEN p = '' OR g = '' OR coalesce(s.n, 0) = 0 THEN 0.0 ELSE 2.0 * (s.n / len(pt)) * (s.n / len(gt)) / (s.n / len(pt) + s.n / len(gt)) END AS f1
   FROM used u LEFT JOIN same s ON s.doc_id = u.doc_id AND s.sent_idx = u.sent_idx)"""
 
-_GROUNDED = (
-    f"WITH {_WORDS}, {_OFFSETS},\n"
-    + _ask("fast", _PAGED_TEXT).removeprefix("WITH ")
-    + """, starts AS (SELECT doc_id, page, min(char_start) AS st FROM offs WHERE page < 25 GROUP BY ALL),
+#: From answered to the page of each answer, by offs(doc_id, page, char_start) of the words.
+_GROUNDING = """, starts AS (SELECT doc_id, page, min(char_start) AS st FROM offs WHERE page < 25 GROUP BY ALL),
 sp AS (SELECT s.doc_id, s.sent_idx, coalesce(p.page, 0) AS page FROM sents s ASOF LEFT JOIN starts p ON s.doc_id = p.doc_id AND s.char_start >= p.st),
-spots AS (SELECT doc_id, q_id, strpos(ctx, ans) - 1 AS c, length(ans) AS n_ans FROM answered),
+spots AS (SELECT doc_id, q_id, ans, strpos(ctx, ans) - 1 AS c, length(ans) AS n_ans FROM answered),
 laid AS (SELECT *, coalesce(sum(length(win) + 1) OVER (PARTITION BY doc_id, q_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ws FROM fast),
-hits_w AS (SELECT l.doc_id, l.q_id, l.win_id, a.c, a.n_ans, a.c - l.ws AS pos, row_number() OVER (PARTITION BY l.doc_id, l.q_id ORDER BY CASE WHEN l.ws <= a.c AND a.c < l.ws + length(l.win) THEN l.nth ELSE 1000 - l.nth END) AS rk
+hits_w AS (SELECT l.doc_id, l.q_id, l.win_id, a.ans, a.c, a.n_ans, a.c - l.ws AS pos, row_number() OVER (PARTITION BY l.doc_id, l.q_id ORDER BY CASE WHEN l.ws <= a.c AND a.c < l.ws + length(l.win) THEN l.nth ELSE 1000 - l.nth END) AS rk
   FROM laid l JOIN spots a ON a.doc_id = l.doc_id AND a.q_id = l.q_id)
 SELECT h.doc_id, h.q_id, h.c AS char_start, h.c + h.n_ans AS char_end, sp.page AS page_number FROM hits_w h JOIN wins w ON w.doc_id = h.doc_id AND w.win_id = h.win_id
 JOIN sp ON sp.doc_id = h.doc_id AND sp.sent_idx = w.k + CASE WHEN w.n < 3 THEN 0 WHEN h.pos >= length(s0) + length(s1) + 2 THEN 2 WHEN h.pos >= length(s0) + 1 THEN 1 ELSE 0 END WHERE h.rk = 1"""
-)
+_GROUNDED = f"WITH {_WORDS}, {_OFFSETS},\n" + _ask("fast", _PAGED_TEXT).removeprefix("WITH ") + _GROUNDING
 #: The derived word boxes; their rows are far apart, so a fold over a page finds just the rows they were laid out in.
 _BOXES = f"""WITH {_WORDS},
 cells AS (SELECT doc_id, page, ord AS seq, word, doc_id % 2 = 1 AS two, ord % 300 AS i FROM words),
@@ -153,6 +153,55 @@ found_g AS (SELECT c.doc_id, c.page, CASE WHEN m.n >= 3 AND count(c.c) FILTER (a
 pages_g AS (SELECT p.doc_id, p.page, g.gutter FROM (SELECT DISTINCT doc_id, page FROM placed_w) p LEFT JOIN found_g g ON g.doc_id = p.doc_id AND g.page = p.page)
 """
 
+
+
+def _decoded(base: str) -> str:
+    """CTEs ending in d_spans of a relation (doc_id, q_id, ctx) of contexts, with the derived logits."""
+    return rf"""d_base AS ({base}),
+d_n AS (SELECT doc_id, q_id, ctx, 7 + CAST(ceil(length(ctx) / 7.0) AS BIGINT) AS n, doc_id * 31 + q_id * 17 AS seed FROM d_base),
+d_i AS (SELECT doc_id, q_id, n, seed, 6 + seed * 7 % (n - 7) AS peak, unnest(range(n)) AS i FROM d_n),
+d_tok AS (SELECT doc_id, q_id, n, i, ((seed * 3 + i * (i + 5) * 7) % 64 - 40) / 8.0 + CASE WHEN i = peak THEN 16.0 ELSE 0.0 END AS s,
+  ((seed * 5 + i * (i + 11) * 7) % 64 - 40) / 8.0 + CASE WHEN i = peak + seed % 40 THEN 16.0 ELSE 0.0 END AS e FROM d_i),
+d_tops AS (SELECT doc_id, q_id, max(s) AS ms, max(e) AS me, max(s + e) FILTER (i = 0) AS null_score FROM d_tok GROUP BY ALL),
+d_sums AS (SELECT t.doc_id, t.q_id, sum(exp(t.s - m.ms)) AS ss, sum(exp(t.e - m.me)) AS se FROM d_tok t JOIN d_tops m ON m.doc_id = t.doc_id AND m.q_id = t.q_id GROUP BY ALL),
+d_wide AS (SELECT *, max(e) OVER (PARTITION BY doc_id, q_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING) AS m FROM d_tok WHERE i BETWEEN 6 AND n - 2),
+d_best AS (SELECT doc_id, q_id, arg_max(i, (s + m) * 100000 - i) AS i, arg_max(s, (s + m) * 100000 - i) AS s, arg_max(m, (s + m) * 100000 - i) AS e FROM d_wide GROUP BY ALL),
+d_pair AS (SELECT b.doc_id, b.q_id, b.i, min(t.i) AS j, any_value(b.s) AS s, any_value(b.e) AS e FROM d_best b JOIN d_tok t ON t.doc_id = b.doc_id AND t.q_id = b.q_id AND t.i BETWEEN b.i AND least(b.i + 29, t.n - 2) AND t.e = b.e GROUP BY ALL),
+d_cut AS (SELECT p.*, m.null_score, round(exp(p.s - m.ms) / u.ss * (exp(p.e - m.me) / u.se), 4) AS confidence, least((p.i - 6) * 7, length(ctx)) AS st, least((p.j - 6) * 7 + 7, length(ctx)) AS en, ctx
+  FROM d_pair p JOIN d_tops m ON m.doc_id = p.doc_id AND m.q_id = p.q_id JOIN d_sums u ON u.doc_id = p.doc_id AND u.q_id = p.q_id JOIN d_base b ON b.doc_id = p.doc_id AND b.q_id = p.q_id),
+d_raw AS (SELECT *, CASE WHEN en > st THEN substr(ctx, st + 1, en - st) ELSE '' END AS raw FROM d_cut),
+d_spans AS (SELECT doc_id, q_id, i, j, s + e AS best, null_score, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS answer, st + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS char_start,
+  en - (length(raw) - length(regexp_replace(raw, '\s+$', ''))) AS char_end, confidence, regexp_replace(raw, '^\s+|\s+$', '', 'g') <> '' AS found, s + e >= null_score AND confidence >= 0.05 AS accepted FROM d_raw)
+"""
+
+
+def _read(chosen: str) -> str:
+    return (
+        _ask(chosen)
+        + ",\n"
+        + _decoded("SELECT doc_id, q_id, ctx FROM answered WHERE length(ctx) > 0")
+        + """SELECT d.doc_id, q.q_id, CASE WHEN r.accepted THEN r.answer ELSE coalesce(ans, '') END AS answer, md5(coalesce(a.ctx, '')) AS context_md5,
+  CASE WHEN r.accepted THEN r.char_start WHEN ans IS NULL THEN -1 ELSE greatest(strpos(a.ctx, ans) - 1, 0) END AS char_start,
+  CASE WHEN r.accepted THEN r.char_end ELSE coalesce(strpos(a.ctx, ans) - 1 + length(ans), -1) END AS char_end,
+  CASE WHEN r.accepted THEN r.confidence ELSE round(coalesce(conf, 0.0), 2) END AS confidence, CASE WHEN r.accepted THEN r.found ELSE ans IS NOT NULL END AS found,
+  CASE WHEN ans IS NULL THEN 0.0 ELSE 1.0 END AS retrieval_confidence, CASE WHEN ans IS NULL THEN NULL ELSE 0 END AS page_number, CAST(NULL AS VARCHAR) AS error
+FROM (SELECT doc_id FROM documents) d CROSS JOIN quest q LEFT JOIN answered a ON a.doc_id = d.doc_id AND a.q_id = q.q_id LEFT JOIN d_spans r ON r.doc_id = d.doc_id AND r.q_id = q.q_id"""
+    )
+
+
+_IN_ORDER = """,
+ordered AS (SELECT w.doc_id, w.page, w.word, row_number() OVER (PARTITION BY w.doc_id ORDER BY w.page, coalesce(x0 >= gutter, false), y0, x0, seq) - 1 AS ord
+  FROM placed_w w JOIN pages_g g ON g.doc_id = w.doc_id AND g.page = w.page WHERE w.page < 25),
+offs AS (SELECT doc_id, ord, page, word, coalesce(sum(length(word) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS char_start FROM ordered)"""
+_LAYOUT_ANSWERS = (
+    _BOXES.rstrip()
+    + _IN_ORDER
+    + ",\n"
+    + _ask("fast", "SELECT doc_id, string_agg(word, ' ' ORDER BY ord) AS text FROM ordered GROUP BY doc_id").removeprefix("WITH ")
+    + _GROUNDING.replace("AS page_number FROM", "AS page_number, md5(h.ans) AS answer_md5 FROM")
+)
+_SIZES = """WITH r AS (SELECT doc_id, (n_chars % 1000) || '.5' || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END || ['B', 'kB', 'MiB', 'GB', 'KiB', 'mb', 'TB', 'x'][doc_id % 8 + 1] AS size, n_chars % 1000 + 0.5 AS v, doc_id % 8 AS u FROM documents)
+SELECT doc_id, size, CAST(CASE u WHEN 0 THEN v WHEN 1 THEN v * 1000 WHEN 2 THEN v * 1048576 WHEN 3 THEN v * 1000000000 WHEN 4 THEN v * 1024 WHEN 5 THEN v * 1000000 WHEN 6 THEN v ELSE 0 END AS DOUBLE) AS n_bytes FROM r"""
 SQL: dict[str, str] = {
     "page_grounding": _GROUNDED,
     "row_clusters": _BOXES + "SELECT doc_id, page, seq, row_id FROM placed_w",
@@ -160,17 +209,10 @@ SQL: dict[str, str] = {
     "gutters": _BOXES + "SELECT doc_id, page, gutter FROM pages_g",
     "column_reorder": _BOXES + """SELECT doc_id, page, md5(txt) AS text_md5, length(txt) AS n_chars FROM (SELECT w.doc_id, w.page, string_agg(word, ' ' ORDER BY coalesce(x0 >= gutter, false), y0, x0, seq) AS txt
   FROM placed_w w JOIN pages_g g ON g.doc_id = w.doc_id AND g.page = w.page WHERE w.page < 25 GROUP BY ALL)""",
-    "span_decode": r"""WITH base AS (SELECT doc_id, q_id, substr(text, 1, 120) AS ctx, doc_id * 31 + q_id * 17 AS seed FROM documents CROSS JOIN (SELECT item_id AS q_id FROM benchmark) WHERE length(text) > 0),
-tok AS (SELECT doc_id, q_id, i, ((seed * 3 + i * (i + 5) * 7) % 64 - 40) / 8.0 AS s, ((seed * 5 + i * (i + 11) * 7) % 64 - 40) / 8.0 AS e FROM base CROSS JOIN (SELECT unnest(range(24)) AS i)),
-tops AS (SELECT doc_id, q_id, max(s) AS ms, max(e) AS me, max(s + e) FILTER (i = 0) AS null_score FROM tok GROUP BY ALL),
-sums AS (SELECT t.doc_id, t.q_id, sum(exp(t.s - m.ms)) AS ss, sum(exp(t.e - m.me)) AS se FROM tok t JOIN tops m ON m.doc_id = t.doc_id AND m.q_id = t.q_id GROUP BY ALL),
-ranked_p AS (SELECT a.doc_id, a.q_id, a.i, b.i AS j, a.s, b.e, row_number() OVER (PARTITION BY a.doc_id, a.q_id ORDER BY a.s + b.e DESC, a.i, b.i) AS rk
-  FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.q_id = a.q_id AND b.i BETWEEN a.i AND a.i + 29 WHERE a.i BETWEEN 6 AND 22 AND b.i <= 22),
-cut_s AS (SELECT p.*, m.null_score, round(exp(p.s - m.ms) / u.ss * (exp(p.e - m.me) / u.se), 4) AS confidence, least((p.i - 6) * 7, length(ctx)) AS st, least((p.j - 6) * 7 + 7, length(ctx)) AS en, ctx
-  FROM ranked_p p JOIN tops m ON m.doc_id = p.doc_id AND m.q_id = p.q_id JOIN sums u ON u.doc_id = p.doc_id AND u.q_id = p.q_id JOIN base b ON b.doc_id = p.doc_id AND b.q_id = p.q_id WHERE rk = 1),
-raws AS (SELECT *, CASE WHEN en > st THEN substr(ctx, st + 1, en - st) ELSE '' END AS raw FROM cut_s)
-SELECT doc_id, q_id, i, j, s + e AS best, null_score, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS answer, st + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS char_start,
-en - (length(raw) - length(regexp_replace(raw, '\s+$', ''))) AS char_end, confidence, regexp_replace(raw, '^\s+|\s+$', '', 'g') <> '' AS found, s + e >= null_score AND confidence >= 0.05 AS accepted FROM raws""",
+    "layout_answers": _LAYOUT_ANSWERS,
+    "span_decode": "WITH " + _decoded("SELECT doc_id, q_id, text AS ctx FROM documents CROSS JOIN (SELECT item_id AS q_id FROM benchmark) WHERE length(text) > 0")
+    + "SELECT doc_id, q_id, i, j, best, null_score, answer, char_start, char_end, confidence, found, accepted FROM d_spans",
+    "ask_reader": _read("fast"),
     "sentences": _base() + "SELECT doc_id, sent_idx, sent, char_start FROM sents",
     "windows": _base(_WINDOWS) + "SELECT doc_id, win_id, win AS window, CASE WHEN n < 3 THEN 1 ELSE 3 END AS n_sents, k AS first_sent, CASE WHEN n < 3 THEN 0 ELSE length(s0) + length(s1) + 2 END AS last_ws, length(win) AS last_we FROM wins",
     "tfidf_scores": _base(_WINDOWS, _SCORES) + "SELECT doc_id, q_id, u AS win_id, score FROM sc",
@@ -186,8 +228,7 @@ SELECT s.doc_id, s.sent_idx, s.sent, s.char_start, coalesce(p.page, 0) AS page F
     "references_mark": f"WITH {_WORDS},\n" + sentences(_REF_TEXT) + _REFS + " SELECT * FROM marked",
     "body_filter": f"WITH {_WORDS},\n" + sentences(_REF_TEXT) + _REFS + """, kept_body AS (SELECT *, max(CASE WHEN past_references THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id) AS any_body FROM marked)
 SELECT doc_id, count(*) AS n_body, max(sent_idx) AS last_sent FROM kept_body WHERE NOT past_references OR any_body = 0 GROUP BY doc_id""",
-    "rerank_prune": """WITH r AS (SELECT doc_id, q_id, win_id, CAST((doc_id * 13 + q_id * 7 + win_id * win_id * 5) % 23 / 4.0 - doc_id % 4 * 3 AS FLOAT) AS score
-  FROM (SELECT doc_id FROM documents) CROSS JOIN (SELECT item_id AS q_id FROM benchmark) CROSS JOIN (SELECT unnest(range(12)) AS win_id)),
+    "rerank_prune": _base(_WINDOWS) + """, r AS (SELECT doc_id, q_id, win_id, CAST((doc_id * 13 + q_id * 7 + win_id * win_id * 5) % 23 / 4.0 - doc_id % 4 * 3 AS FLOAT) AS score FROM wins CROSS JOIN (SELECT item_id AS q_id FROM benchmark)),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, q_id ORDER BY score DESC, win_id) AS "rank", max(score) OVER (PARTITION BY doc_id, q_id) AS top FROM r)
 SELECT doc_id, q_id, win_id, score, "rank" FROM o WHERE "rank" = 1 OR ("rank" <= 4 AND top - score <= 2.0 AND top >= -5.0)""",
     "token_f1": _base() + _PAIRS.lstrip() + " SELECT doc_id, sent_idx, retrieval_hit, exact_match, round(f1, 4) AS f1 FROM scored",
@@ -202,6 +243,6 @@ SELECT doc_id, CASE WHEN s < 0 OR e <= s THEN length(text) ELSE s END AS n_befor
     "question_filter": rf"""WITH q AS (SELECT item_id AS q_id, CASE WHEN item_id % 7 = 0 THEN ' ' ELSE text END AS question FROM benchmark)
 SELECT q_id, len(list_filter(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda t: t NOT IN ({_STOP}))) AS n_tokens, 2 * len(string_split_regex({strip("question")}, '\s+')) AS n_model_tokens FROM q WHERE {strip("question")} <> ''""",
     "row_tolerance": "SELECT doc_id, page, 5.0 AS tol FROM (SELECT DISTINCT doc_id, page FROM (WITH " + _WORDS + " SELECT * FROM words))",
-    "size_strings": """WITH r AS (SELECT doc_id, (n_chars % 1000) || '.5' || CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END || ['B', 'kB', 'MiB', 'GB', 'KiB', 'mb', 'TB', 'x'][doc_id % 8 + 1] AS size, n_chars % 1000 + 0.5 AS v, doc_id % 8 AS u FROM documents)
-SELECT doc_id, size, CAST(CASE u WHEN 0 THEN v WHEN 1 THEN v * 1000 WHEN 2 THEN v * 1048576 WHEN 3 THEN v * 1000000000 WHEN 4 THEN v * 1024 WHEN 5 THEN v * 1000000 WHEN 6 THEN v ELSE 0 END AS DOUBLE) AS n_bytes FROM r""",
+    "size_strings": _SIZES,
+    "peak_size": f"SELECT doc_id % 7 AS run, arg_max(size, struct_pack(a := n_bytes, b := size)) AS peak, max(n_bytes) AS n_bytes FROM ({_SIZES}) GROUP BY 1",
 }

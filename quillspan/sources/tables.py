@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.config import TOO_LARGE, Settings
+from quillspan.functions.text import SPACE, let
 
 WORD_BOXES = "doc_id string, page int, seq int, x0 double, y0 double, x1 double, y1 double, word string"
 EVAL_SET = "paper_path string, question string, gold_answer string, gold_page int"
@@ -19,14 +21,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, cfg: Settings = Settings()) -> DataFrame:
-    """doc_id (hash of the content), path, length, content, error of files; equal contents come once.
+    """doc_id (hash of the content), path, length, content, error of files; equal contents come once, under their first path.
 
-    Files that are too large have an error instead of a content, so that nothing later reads them.
+    Files that are too large have an error and no content: their bytes are never read, and the hash of
+    path and length stands for that of the content.  Only hashes are shuffled to find copies.
     """
     found = spark.read.format("binaryFile").load(path)
-    large = F.col("length") > cfg.max_bytes
-    rows = found.select(F.sha2("content", 256).alias("doc_id"), "path", "length", F.when(~large, F.col("content")).alias("content"), F.when(large, TOO_LARGE).alias("error"))
-    return rows.dropDuplicates(["doc_id"])
+    small = found.filter(F.col("length") <= cfg.max_bytes).withColumn("doc_id", F.sha2("content", 256))
+    first = small.groupBy("doc_id").agg(F.min("path").alias("path"))
+    kept = small.join(first, ["doc_id", "path"], "left_semi").select("doc_id", "path", "length", "content", F.lit(None).cast("string").alias("error"))
+    large = found.filter(F.col("length") > cfg.max_bytes).select(
+        F.sha2(F.concat_ws(" ", "path", F.col("length").cast("string")).cast("binary"), 256).alias("doc_id"), "path", "length", F.lit(None).cast("binary").alias("content"), F.lit(TOO_LARGE).alias("error")
+    )
+    return kept.unionByName(large)
+
+
+def plain_texts(contents: DataFrame, parser: Callable[[bytes, int], Iterator[str]], cfg: Settings = Settings()) -> DataFrame:
+    """doc_id, text of files(doc_id, content) without layout: parser(content, max_pages) yields the text of each page.
+
+    The first pages that have any text are joined by spaces; a file that the parser cannot read has an empty text.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for content in batch["content"]:
+                try:
+                    texts.append(" ".join(t for t in islice(parser(content, cfg.max_pages), cfg.max_pages) if t))
+                except Exception:  # an unreadable document is an empty one
+                    texts.append("")
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text": texts})
+
+    return contents.filter(F.col("content").isNotNull()).select("doc_id", "content").mapInPandas(run, "doc_id string, text string")
 
 
 def word_boxes(contents: DataFrame, parser: Callable[[bytes, int], Iterator[tuple]], cfg: Settings = Settings()) -> DataFrame:
@@ -74,7 +100,7 @@ def as_json(df: DataFrame, *keys: str) -> DataFrame:
 
 def derived_words(docs: DataFrame, per_page: int = 300, per_row: int = 10) -> DataFrame:
     """Word boxes laid out from texts: rows of ten words; odd documents have two columns, and rows are slightly uneven."""
-    words = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("seq", "word"))
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), f"{SPACE}+"), lambda w: w != "")).alias("seq", "word"))
     page, i = F.floor(F.col("seq") / per_page).cast("int"), F.col("seq") % per_page
     two = F.col("doc_id") % 2 == 1
     half = per_row // 2
@@ -88,7 +114,7 @@ def derived_words(docs: DataFrame, per_page: int = 300, per_row: int = 10) -> Da
 
 def paged_words(docs: DataFrame, per_page: int = 300) -> DataFrame:
     """doc_id, ord, page, word of texts cut into pages of as many words."""
-    words = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")).alias("ord", "word"))
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split(F.coalesce("text", F.lit("")), f"{SPACE}+"), lambda w: w != "")).alias("ord", "word"))
     return words.select("doc_id", "ord", F.floor(F.col("ord") / per_page).cast("int").alias("page"), "word")
 
 
@@ -97,23 +123,36 @@ def joined_text(words: DataFrame) -> DataFrame:
     return held.select("doc_id", F.array_join(F.transform("ws", lambda w: w["word"]), " ").alias("text"))
 
 
-def derived_logits(docs: DataFrame, questions: DataFrame, n_tokens: int = 24) -> DataFrame:
-    """Logits from ids alone, as multiples of 1/8, for the first words of each document and each question."""
-    short = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, 120).alias("context")).filter(F.length("context") > 0)
-    at = F.sequence(F.lit(0), F.lit(n_tokens - 1))
-    seed = F.col("doc_id") * 31 + F.col("q_id") * 17
-    logit = lambda a, b: F.transform(at, lambda i: ((F.pmod(seed * a + i * (i + b) * 7, F.lit(64)) - 40) / 8.0).cast("float"))
-    return short.crossJoin(F.broadcast(questions.select("q_id"))).select(
-        "doc_id", "q_id", "context", logit(3, 5).alias("start_logits"), logit(5, 11).alias("end_logits"),
-        F.transform(at, lambda i: F.when((i >= 6) & (i < n_tokens - 1), 1).otherwise(0)).alias("seq_ids"),
-        F.transform(at, lambda i: F.struct(F.least((i - 6) * 7, F.length("context")).cast("int").alias("s"), F.least((i - 6) * 7 + 7, F.length("context")).cast("int").alias("e"))).alias("offsets"),
-    )
+def derived_logits(contexts: DataFrame, width: int = 7, before: int = 6) -> DataFrame:
+    """Logits from ids alone, as multiples of 1/8, for the whole of each context(doc_id, q_id, context).
 
-
-def derived_rerank_scores(docs: DataFrame, questions: DataFrame, n_windows: int = 12) -> DataFrame:
-    """Reranker scores from ids alone, as multiples of 1/4, with ties, exact margins and low tops."""
-    ids = F.explode(F.sequence(F.lit(0), F.lit(n_windows - 1))).alias("win_id")
-    rows = docs.select("doc_id").crossJoin(F.broadcast(questions.select("q_id"))).select("doc_id", "q_id", ids)
+    Tokens are ``width`` characters long, after ``before`` tokens of the question and before a closing one.
+    A start and an end stand out, up to 39 tokens apart; the end may lie beyond the context.
+    """
+    seed = F.col("doc_id") * 31 + F.col("q_id") * 17
+    noise = lambda i, a, b: (F.pmod(seed * a + i.cast("long") * (i + b) * 7, F.lit(64)) - 40) / 8.0
+
+    def model(m: Column) -> Column:
+        at = F.sequence(F.lit(0), m["n"] - 1)
+        logit = lambda a, b, top: F.transform(at, lambda i: (noise(i, a, b) + F.when(i == top, 16.0).otherwise(0.0)).cast("float"))
+        place = lambda i: F.least(F.greatest((i - before) * width, F.lit(0)), m["size"])
+        return F.struct(
+            logit(3, 5, m["peak"]).alias("start_logits"), logit(5, 11, m["peak"] + F.pmod(seed, F.lit(40))).alias("end_logits"),
+            F.transform(at, lambda i: F.when((i >= before) & (i < m["n"] - 1), 1).otherwise(0)).alias("seq_ids"),
+            F.transform(at, lambda i: F.struct(place(i).alias("s"), place(i + 1).alias("e"))).alias("offsets"),
+        )
+
+    # lengths are counted once a context, not once a token
+    n = lambda size: before + F.ceil(size / width).cast("int") + 1
+    peak = lambda size: before + F.pmod(seed * 7, (n(size) - before - 1).cast("long"))
+    sized = lambda size: F.struct(size.alias("size"), n(size).alias("n"), peak(size).alias("peak"))
+    made = let(let(F.length("context"), sized), model)
+    return contexts.filter(F.length("context") > 0).withColumn("m", made).select("doc_id", "q_id", "context", "m.*")
+
+
+def derived_rerank_scores(windows: DataFrame, questions: DataFrame) -> DataFrame:
+    """Reranker scores of every window(doc_id, win_id) for every question, as multiples of 1/4, with ties, exact margins and low tops."""
+    rows = windows.select("doc_id", "win_id").crossJoin(questions.select("q_id")).select("doc_id", "q_id", "win_id")
     return rows.withColumn("score", (F.pmod(F.col("doc_id") * 13 + F.col("q_id") * 7 + F.col("win_id") * F.col("win_id") * 5, F.lit(23)) / 4.0 - F.pmod(F.col("doc_id"), F.lit(4)) * 3).cast("float"))
 
 
