@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 from quillspan.llm.common import Scratch, checkpoint
 
 TABLES = 40
-PROBES = 48
-#: Probes are raised where a query would else see fewer rows than this on average.
-CANDIDATES = 1500
+#: The same for tables of every size: recall depends on probes and tables, not on the number of rows.
+PROBES = 128
 #: Queries in a broadcast block, on average.
 BLOCK = 1024
 
@@ -151,7 +150,7 @@ def _index(hashes: Hashes):
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, probes: int = PROBES, candidates: int = CANDIDATES, block: int = BLOCK
+    vectors: DataFrame, queries: DataFrame, k: int = 5, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine) of the k nearest found rows of each query.
 
@@ -159,15 +158,22 @@ def nearest(
     rows.  A row is no neighbour of its own id.  Ties go to the smaller vec_id.  Rows without an id,
     and vectors that are null, empty, zero or hold null or non-finite components, take no part, nor do
     those of another length than most.  Equal vectors are one row of the index with the k + 1 smallest
-    ids, which is all that can be among the k nearest.
+    ids, which is all that can be among the k nearest.  Vectors with
+    components from about 1e150 on, whose squares do not fit a double, take no part either.  An empty table on either side
+    gives no rows; other columns are ignored.
     """
+    with Scratch(vectors.sparkSession, "ann") as scratch:
+        return _nearest(vectors, queries, k, tables, probes, block, scratch)
+
+
+def _nearest(vectors: DataFrame, queries: DataFrame, k: int, tables: int, probes: int, block: int, scratch: Scratch) -> DataFrame:
     spark = vectors.sparkSession
-    scratch = Scratch(spark, "ann")
 
     def usable(df: DataFrame) -> DataFrame:
         df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
         bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        return df.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)).withColumn("v", F.transform("v", lambda x: x + 0.0))
+        fits = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+        return df.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad & (fits > 0) & (fits < float("inf"))).withColumn("v", F.transform("v", lambda x: x + 0.0))
 
     rows = usable(vectors)
     common = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
@@ -181,8 +187,7 @@ def nearest(
     hashes = Hashes(dim, tables)
     index = scratch.write(classes.mapInArrow(_index(hashes), "cls long, v array<double>, buckets array<int>, ids array<long>"))
     wanted = scratch.write(asked.select(F.col("vec_id").alias("query_id"), "v").distinct().join(index.select("cls", "v"), "v").select("query_id", "cls"))
-    n = max(1, index.count())
-    probes = min(hashes.axes**2, max(probes, -(-candidates * hashes.axes**2 // (n * tables))))
+    probes = min(hashes.axes**2, probes)
     asked_classes = index.join(wanted.select("cls").distinct(), "cls", "left_semi").select("cls", "v")
     blocks = max(1, -(-asked_classes.count() // block))
     found = None
@@ -200,6 +205,4 @@ def nearest(
     spread = best.join(index.select("cls", "ids"), "cls").select("query", "score", F.explode("ids").alias("vec_id"))
     pairs = wanted.join(spread, wanted["cls"] == spread["query"]).filter("vec_id != query_id").select("query_id", "vec_id", "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = checkpoint(pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-    scratch.drop()
-    return out
+    return checkpoint(pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
