@@ -7,13 +7,17 @@ the work is an equi-join on terms and units that share nothing never meet a ques
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.config import Settings
 from quillspan.functions.text import tokens
 
 
+#: Rows of question terms, about forty bytes each, up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+
+
 def term_counts(units: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, tok, tf of the tokens of a text column."""
     return units.select(*keys, F.explode(tokens(F.col(text))).alias("tok")).groupBy(*keys, "tok").agg(F.count(F.lit(1)).alias("tf"))
@@ -31,6 +35,9 @@ def cosines(unit_terms: DataFrame, counts: DataFrame, question_terms: DataFrame,
     """
     on = ["q_id", "tok"] if "q_id" in group else ["tok"]
     asked = question_terms.select("q_id", "tok", F.col("tf").alias("tf_q"))
+    # terms of few questions are looked up where the units lie, so a common word needs no task of its own
+    if asked.count() <= BROADCAST_ROWS:
+        asked = F.broadcast(asked)
     df = unit_terms.groupBy(*group, "tok").agg(F.count(F.lit(1)).alias("df")).join(counts, group)
     known = df.withColumns({"idf_0": _idf(F.col("n"), 1 + F.col("df")), "idf_q": _idf(F.col("n"), 2 + F.col("df")), "idf_new": _idf(F.col("n"), F.lit(2))})
     weighted = unit_terms.join(known, [*group, "tok"])
@@ -50,22 +57,28 @@ def cosines(unit_terms: DataFrame, counts: DataFrame, question_terms: DataFrame,
 
 
 def ranked(scores: DataFrame, counts: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """doc_id, q_id, n, scored (array of (score, win_id), best first), p40, max_score of pairs that share a term.
+    """doc_id, q_id, n, scored (array of (score, win_id), the best ``pool``), n_scored, p40, max_score of pairs that share a term.
 
-    Windows that share nothing score 0 and enter the percentile by their number alone.
+    Windows that share nothing score 0 and enter the percentile by their number alone.  Scores are ranked by
+    a sort that can spill; only the best and the two that the percentile lies between are kept.
     """
-    order = lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).otherwise(a["win_id"] - b["win_id"])
-    held = scores.filter("score > 0").groupBy("doc_id", "q_id").agg(F.array_sort(F.collect_list(F.struct("score", "win_id")), order).alias("scored")).join(counts, "doc_id")
+    best_first = Window.partitionBy("doc_id", "q_id").orderBy(F.desc("score"), "win_id")
+    held = scores.filter("score > 0").join(counts, "doc_id").withColumn("rank", F.row_number().over(best_first))
     place = F.lit(cfg.percentile) * (F.col("n") - 1)
     lo = F.floor(place).cast("int")
-    # the i-th smallest of all: zeros first, then the scored ones backwards
-    nth = lambda i: F.coalesce(F.get("scored", (F.col("n") - 1 - i).cast("int"))["score"], F.lit(0.0))
-    p40 = nth(lo) + (nth(F.least(lo + 1, F.col("n") - 1)) - nth(lo)) * (place - lo)
-    return held.select("doc_id", "q_id", "n", "scored", F.round(p40, 9).alias("p40"), F.col("scored")[0]["score"].alias("max_score"))
+    # the i-th smallest of all is the (n - i)-th best; zeros have no row
+    nth = lambda i: F.coalesce(F.max(F.when(F.col("rank") == F.col("n") - i, F.col("score"))), F.lit(0.0))
+    top = F.array_sort(F.collect_list(F.when(F.col("rank") <= cfg.pool, F.struct("rank", "score", "win_id"))))
+    made = held.groupBy("doc_id", "q_id", "n").agg(
+        F.transform(top, lambda t: F.struct(t["score"].alias("score"), t["win_id"].alias("win_id"))).alias("scored"),
+        F.count(F.lit(1)).cast("int").alias("n_scored"), nth(lo).alias("below"), nth(F.least(lo + 1, F.col("n") - 1)).alias("above"), F.max("score").alias("max_score"),
+    )
+    p40 = F.col("below") + (F.col("above") - F.col("below")) * (place - lo)
+    return made.select("doc_id", "q_id", "n", "scored", "n_scored", F.round(p40, 9).alias("p40"), "max_score")
 
 
 def _in_order(limit: int) -> Column:
-    """Window ids by rank, up to limit: scored ones, then those that score 0 by id."""
+    """Window ids by rank, up to limit (``pool`` at most): scored ones, then those that score 0 by id."""
     ids = F.transform("scored", lambda s: s["win_id"])
     zeros = F.array_except(F.sequence(F.lit(0), F.least(F.col("n") - 1, F.size("scored") + limit).cast("int")), ids)
     return F.slice(F.concat(ids, zeros), 1, limit)
@@ -89,8 +102,6 @@ def rerank_prune(scored: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     The best is always kept; up to four whose score lies within the margin; only the best if that is
     below the floor.  Ties go to the smaller window.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id", "q_id")
     rows = scored.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("score"), "win_id")), "top": F.max("score").over(w)})
     kept = (F.col("rank") == 1) | ((F.col("rank") <= cfg.max_reranked) & (F.col("top") - F.col("score") <= cfg.rerank_margin) & (F.col("top") >= cfg.rerank_floor))

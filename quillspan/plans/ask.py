@@ -14,7 +14,7 @@ from quillspan.plans.cut import cut
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
-    return scoring.term_counts(questions, ["q_id"], "question")
+    return cut(scoring.term_counts(questions, ["q_id"], "question"))
 
 
 @dataclass
@@ -42,14 +42,14 @@ def ranked(corpus: Corpus, terms: DataFrame, cfg: Settings = Settings()) -> Data
     return scoring.ranked(scoring.cosines(corpus.terms, corpus.counts, terms, ["doc_id"], "win_id"), corpus.counts, cfg)
 
 
-def contexts(corpus: Corpus, questions: DataFrame, cfg: Settings = Settings(), scorer=None, own: DataFrame | None = None) -> DataFrame:
+def contexts(corpus: Corpus, questions: DataFrame, cfg: Settings = Settings(), scorer=None, terms: DataFrame | None = None, own: bool = False) -> DataFrame:
     """doc_id, q_id, context, window_offsets, window_sent_offsets, retrieval_confidence of pairs with a context.
 
     scorer: a plug-in that adds a column score to rows (doc_id, q_id, win_id, window, ...).  Without one
     a reranker keeps its pool as it is.  The pairs without any term on either side get the first window.
-    own: the questions' terms, if each belongs to the document of its own id only.
+    terms: of the questions, if known.  own: each question belongs to the document of its own id only.
     """
-    terms = question_terms(questions) if own is None else own
+    terms = question_terms(questions) if terms is None else terms
     best = cut(ranked(corpus, terms, cfg))
     rows = context.chosen_windows(scoring.select_pool(best, cfg) if cfg.use_reranker else scoring.select_fast(best, cfg), corpus.windows)
     if cfg.use_reranker and scorer is not None:
@@ -60,7 +60,7 @@ def contexts(corpus: Corpus, questions: DataFrame, cfg: Settings = Settings(), s
     found = context.assemble(rows).withColumn("retrieval_confidence", F.lit(1.0))
     wordless = corpus.counts.select("doc_id").join(corpus.terms.select("doc_id").distinct(), "doc_id", "left_anti")
     empty = questions.filter(F.size(tokens(F.col("question"))) == 0).select("q_id")
-    apart = wordless.crossJoin(empty) if own is None else wordless.join(empty, wordless["doc_id"] == empty["q_id"])
+    apart = wordless.crossJoin(empty) if not own else wordless.join(empty, wordless["doc_id"] == empty["q_id"])
     first = apart.withColumn("ids", F.array(F.lit(0)))
     return found.unionByName(context.assemble(context.chosen_windows(first, corpus.windows)).withColumn("retrieval_confidence", F.lit(0.0)))
 
@@ -77,8 +77,9 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     sized = docs.select("doc_id", "text", error.alias("error"))
     asked = questions.filter(~blank(F.col("question")))
     corpus = Corpus.of(sized.filter("error is null").select("doc_id", "text"), cfg, words)
-    found = cut(contexts(corpus, asked, cfg, scorer))
-    answered = answers.read_answers(found, question_terms(asked), cfg, reader)
+    terms = question_terms(asked)
+    found = cut(contexts(corpus, asked, cfg, scorer, terms))
+    answered = answers.read_answers(found, terms, cfg, reader)
     pages = corpus.sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "page"))), lambda s: s["page"]).alias("pages"))
     full = found.join(answered, ["doc_id", "q_id"]).join(pages, "doc_id")
     full = full.withColumn("page_number", context.page_of(F.col("char_start"), F.col("window_offsets"), F.col("window_sent_offsets"), F.col("pages"))["page_number"])
@@ -134,7 +135,7 @@ def ask_own(pairs: DataFrame, cfg: Settings = Settings(), scorer=None, reader=No
     # a question's terms stay with its own document: the term carries the pair's id
     own = lambda df, key: df.withColumn("tok", F.concat_ws(" ", F.col(key).cast("string"), "tok"))
     mine = Corpus(corpus.sentences, corpus.windows, cut(own(corpus.terms, "doc_id")), corpus.counts)
-    found = cut(contexts(mine, pairs.select("q_id", "question"), cfg, scorer, own(terms, "q_id")).filter("doc_id = q_id"))
+    found = cut(contexts(mine, pairs.select("q_id", "question"), cfg, scorer, cut(own(terms, "q_id")), own=True).filter("doc_id = q_id"))
     answered = answers.read_answers(found, terms, cfg, reader)
     pages = corpus.sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "page"))), lambda s: s["page"]).alias("pages"))
     full = found.join(answered, ["doc_id", "q_id"]).join(pages, "doc_id")
