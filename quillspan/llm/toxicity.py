@@ -72,7 +72,7 @@ class Ordinal:
         self.cache: dict[str, bool] = {}
 
     @staticmethod
-    def fit(found: list[np.ndarray], grade: np.ndarray, n_grades: int = GRADES, n_features: int = FEATURES, steps: int = 600, l1: float = 2e-4) -> Ordinal:
+    def fit(found: list[np.ndarray], grade: np.ndarray, n_grades: int = GRADES, n_features: int = FEATURES, steps: int = 600, l1: float = 5e-5) -> Ordinal:
         n = len(found)
         if not n or grade.min() == grade.max():
             all_above = [(-1.0 if n and grade[0] > k else 1.0) * 30.0 for k in range(n_grades - 1)]
@@ -98,15 +98,23 @@ class Ordinal:
         bounds = np.log(1 / rates - 1)
         w = np.zeros(len(chosen))
         seen_w, seen_b, t = w.copy(), bounds.copy(), 1.0
-        per_row = max(1.0, np.bincount(rows, minlength=n).max()) if len(rows) else 1.0
-        step = 4.0 / (per_row * (n_grades - 1)) * 8
-        for _ in range(steps):  # accelerated proximal gradient
+        # steps from the curvature of both blocks: the largest eigenvalue of the features' squares, by power iteration
+        v = np.random.default_rng(5).random(len(w)) + 0.1
+        largest = 1.0
+        for _ in range(30 if len(rows) else 0):
+            v = np.bincount(cols, np.bincount(rows, v[cols], minlength=n)[rows], minlength=len(w)) / n
+            largest = float(np.linalg.norm(v))
+            v /= largest
+        step, step_b = 1 / (0.55 * (n_grades - 1) * max(largest, 1e-9)), 1 / 0.55
+        for _ in range(steps):  # accelerated proximal gradient, begun anew where it overshoots
             score = np.bincount(rows, seen_w[cols], minlength=n)
             p = 1 / (1 + np.exp(-np.clip(score[:, None] - seen_b[None, :], -40, 40)))
             slope = (p - targets) / n
             new_w = seen_w - step * np.bincount(cols, slope.sum(axis=1)[rows], minlength=len(w))
             new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * l1, 0)
-            new_b = np.maximum.accumulate(seen_b + 4.0 * slope.sum(axis=0))
+            new_b = np.maximum.accumulate(seen_b + step_b * slope.sum(axis=0))
+            if (seen_w - new_w) @ (new_w - w) / step + (seen_b - new_b) @ (new_b - bounds) / step_b > 0:
+                t = 1.0
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
             seen_w = new_w + (t - 1) / t_new * (new_w - w)
             seen_b = np.maximum.accumulate(new_b + (t - 1) / t_new * (new_b - bounds))

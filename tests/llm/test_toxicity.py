@@ -1,8 +1,11 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
-from quillspan.llm.toxicity import Ordinal, drop_toxic, features, fit, grade, grades_of
+from quillspan.llm.toxicity import Ordinal, drop_toxic, features, fit, grade, grades_of, place
 
 SCHEMA = "doc_id long, text string, toxic string"
 
@@ -61,3 +64,48 @@ def test_grades_follow_density():
     texts = [f"idiot aaa{i}" for i in range(6)] + [f"idiot scum moron bbb{i}" for i in range(6)] + [f"clean words {i}" for i in range(20)]
     g = grades_of([features(t)[0] for t in texts], np.array([1] * 12 + [0] * 20))
     assert set(g[12:]) == {0} and set(g[:6]) == {1} and set(g[6:12]) == {2}
+
+
+def test_weights_are_those_of_the_plain_objective():
+    """Mean loss of the thresholds plus L1: slopes by definition, row by row, vanish where the model stands."""
+    rnd = random.Random(4)
+    found, y = [], []
+    for _ in range(300):
+        ill = rnd.random()
+        found.append(np.array(sorted({j for j in range(6) if rnd.random() < ill} | {10 + rnd.randrange(8)})))
+        y.append(int(ill + rnd.gauss(0, 0.2) > 0.4) + int(ill + rnd.gauss(0, 0.2) > 0.8))
+    y, l1 = np.array(y), 2e-3
+    model = Ordinal.fit(found, y, steps=20_000, l1=l1)
+    assert model.thresholds == sorted(model.thresholds)
+    slopes, at_bounds = dict.fromkeys({int(f) for x in found for f in x}, 0.0), [0.0, 0.0]
+    for x, g in zip(found, y):
+        score = sum(model.weights.get(int(f), 0.0) for f in x)
+        for k, bound in enumerate(model.thresholds):
+            off = 1 / (1 + math.exp(bound - score)) - (g > k)
+            at_bounds[k] -= off / len(y)
+            for f in x:
+                slopes[int(f)] += off / len(y)
+    assert max(map(abs, at_bounds)) < 1e-4 and len(model.weights) > 3
+    for f, w in model.weights.items():
+        assert abs(slopes[f] + math.copysign(l1, w)) < 1e-4
+    seen = Counter(int(f) for x in found for f in x)
+    assert all(abs(s) < l1 + 1e-4 for f, s in slopes.items() if f not in model.weights and seen[f] >= 3 and chosen(found, y, f))
+
+
+def chosen(found, y, f):
+    """Whether a feature tells anything about the grade at all, so that the model may use it."""
+    with_it = [g > 0 for x, g in zip(found, y) if f in x]
+    return 0 < sum(with_it) < len(with_it)
+
+
+def test_grades_of_rows_by_definition(spark):
+    texts = ["Bad bad words, badly", None, "", "fine " * 30_000 + "bad", "ÄRGER bad", "bad", "bad"]
+    weights = {place("=bad"): 1.5, place("4badl"): 0.5, place("=ärger"): -0.25}
+    model = Ordinal(weights, [0.5, 2.0], 0.6)
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r for r in grade(docs, model).collect()}
+    for i, t in enumerate(texts):
+        words = set(re.findall(r"\w+", (t or "").lower()))
+        x = {place("=" + w) for w in words} | {place(f"{n}{w[:n]}") for w in words for n in (4, 5) if len(w) >= n}
+        p = [1 / (1 + math.exp(b - sum(weights.get(f, 0.0) for f in x))) for b in model.thresholds]
+        assert math.isclose(got[i].expected_severity, sum(p)) and math.isclose(got[i].p_toxic, p[0]) and got[i].toxic == (p[0] >= 0.6)
