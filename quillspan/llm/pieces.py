@@ -266,7 +266,8 @@ def _shared(df: DataFrame, vocabulary: Vocabulary):
 def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
     """Columns of docs but text and ids, with ids (array<int>), and with ``decoded`` also text decoded from them.
 
-    Whole texts are encoded, each row for itself.  A null text has null ids, an empty one no ids.
+    Whole texts are encoded, however long, each row for itself.  A null text has null ids, an empty one no ids.
+    Of segmentations with equal scores the one whose last pieces are longer is taken.  No rows give no rows.
     """
     held = _shared(docs, vocabulary)
     names = [c for c in docs.columns if c not in ("text", "ids")]

@@ -430,7 +430,7 @@ def masked(text: str | None, model: SemiMarkov | None) -> str | None:
 
 
 def mask(docs: DataFrame, model: SemiMarkov | None) -> DataFrame:
-    """Docs with personal data masked in text, other columns unchanged; null stays null."""
+    """Docs with personal data masked in text, other columns unchanged, whatever their names; null stays null, rows that repeat stay alike."""
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

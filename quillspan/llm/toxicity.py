@@ -185,14 +185,15 @@ def _score(model: Ordinal):
 def grade(docs: DataFrame, model: Ordinal) -> DataFrame:
     """doc_id, expected_severity (0 to 2), p_toxic, toxic (p_toxic at or above the model's cut) of each row of docs.
 
-    A null or empty text has no features and gets what the thresholds alone say.  Equal texts get equal
-    grades.  If there were no labels, or all alike, every row gets that one label.
+    A null or empty text has no features and gets what the thresholds alone say.  Texts count whole, however
+    long; equal texts get equal grades.  If there were no labels, or all alike, every row gets that one label.
+    Other columns are ignored; no rows give no rows.
     """
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_score(model), "doc_id long, expected_severity double, p_toxic double, toxic boolean")
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """The rows of docs whose text is not toxic, all columns unchanged."""
+    """The rows of docs whose text is not toxic, all columns unchanged, whatever their names; rows that repeat stay or go together."""
     schema = docs.schema
     place = docs.columns.index("text")
 
