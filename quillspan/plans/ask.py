@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillspan.config import TOO_LARGE, Settings
 from quillspan.functions.text import blank, tokens
-from quillspan.operators import answers, context, evaluation, layout, scoring, sentences, windows
+from quillspan.operators import answers, bulk, context, evaluation, layout, scoring, sentences, windows
 from quillspan.plans.cut import cut
+from quillspan.plans.ship import ship
 
 
 def question_terms(questions: DataFrame) -> DataFrame:
@@ -65,17 +66,34 @@ def contexts(corpus: Corpus, questions: DataFrame, cfg: Settings = Settings(), s
     return found.unionByName(context.assemble(context.chosen_windows(first, corpus.windows)).withColumn("retrieval_confidence", F.lit(0.0)))
 
 
-def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words: DataFrame | None = None, scorer=None, reader=None) -> DataFrame:
+def _sentences(docs: DataFrame, cfg: Settings, words: DataFrame | None) -> DataFrame:
+    """doc_id, error, sents, page: the sentences before the references and their pages, one row a document."""
+    read = docs.filter("error is null")
+    if words is None or not cfg.use_layout:
+        made = bulk.sentences_of(docs.select("doc_id", F.when(F.col("error").isNull(), F.col("text")).alias("text"), "error"), cfg, "error")
+        return made.withColumn("page", F.transform("sents", lambda s: F.lit(0)))
+    body = sentences.body(sentences.mark_references(read, sentences.sentence_pages(sentences.split_sentences(read, cfg), words)))
+    held = body.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "sent", "page"))).alias("s"))
+    rows = docs.select("doc_id", "error").join(held, "doc_id", "left")
+    return rows.select("doc_id", "error", F.transform("s", lambda s: s["sent"]).alias("sents"), F.transform("s", lambda s: s["page"]).alias("page"))
+
+
+def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words: DataFrame | None = None, scorer=None, reader=None, digest: bool = False) -> DataFrame:
     """A response for each document and question: answer, context, places, confidences, page and error.
 
     docs(doc_id, text[, error]), questions(q_id, question).  Blank questions, empty and too large documents
     and those with an error are answered without being read.  reader: a model as in ``answers.read_answers``;
-    without one the answer is the nearest sentence of the context.
+    without one the answer is the nearest sentence of the context.  digest: the MD5 of contexts in their place.
+    Without plug-ins pairs are answered where their document lies (``bulk``), unless the questions are too many.
     """
     large = F.octet_length(F.coalesce("text", F.lit(""))) > cfg.max_bytes
     error = F.coalesce(F.col("error") if "error" in docs.columns else F.lit(None).cast("string"), F.when(large, TOO_LARGE))
     sized = docs.select("doc_id", "text", error.alias("error"))
     asked = questions.filter(~blank(F.col("question")))
+    if scorer is None and reader is None and bulk.able(docs, questions) and (held := bulk.Questions.of(asked)):
+        ship(docs.sparkSession)
+        void = questions.filter(blank(F.col("question"))).select("q_id").toArrow()["q_id"].to_numpy()
+        return bulk.answers(_sentences(sized, cfg, words), held, void, cfg, digest)
     corpus = Corpus.of(sized.filter("error is null").select("doc_id", "text"), cfg, words)
     terms = question_terms(asked)
     found = cut(contexts(corpus, asked, cfg, scorer, terms))
@@ -87,7 +105,7 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     out = every.join(full, ["doc_id", "q_id"], "left")
     return out.select(
         "doc_id", "q_id",
-        F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("context", F.lit("")).alias("context"),
+        F.coalesce("answer", F.lit("")).alias("answer"), (F.md5(F.coalesce("context", F.lit("")).cast("binary")) if digest else F.coalesce("context", F.lit(""))).alias("context"),
         F.coalesce("char_start", F.lit(-1)).alias("char_start"), F.coalesce("char_end", F.lit(-1)).alias("char_end"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("found", F.lit(False)).alias("found"),
         F.coalesce("retrieval_confidence", F.lit(0.0)).alias("retrieval_confidence"), "page_number",

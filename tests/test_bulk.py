@@ -65,3 +65,56 @@ def test_too_many_terms_take_the_joins(spark, sf_dir, odd, monkeypatch):
     want = rows(catalog.q_top8_fast(spark, sf_dir))
     monkeypatch.setattr(bulk.Questions.of, "__defaults__", (3,))
     assert rows(catalog.q_top8_fast(spark, sf_dir)) == want
+
+
+def both(monkeypatch, make):
+    """Rows by the joins and by the batches."""
+    with monkeypatch.context() as m:
+        m.setattr(bulk, "able", lambda *a: False)
+        joined = make().collect()
+    key = lambda r: (str(r["doc_id"]), r["q_id"])
+    return sorted(joined, key=key), sorted(make().collect(), key=key)
+
+
+@pytest.mark.parametrize("cfg", [Settings(), Settings(use_reranker=True), Settings(max_bytes=200)])
+@pytest.mark.parametrize("terms", [1 << 20, 60])
+def test_answers_of_the_joins(odd, monkeypatch, cfg, terms):
+    monkeypatch.setattr(bulk, "TERMS", terms)
+    docs, questions = odd
+    joined, made = both(monkeypatch, lambda: ask.ask(docs, questions, cfg))
+    assert made == joined and len(made) == docs.count() * 8 and {r["found"] for r in made} == {True, False}
+
+
+def test_digest_and_ids_that_are_strings(odd, monkeypatch):
+    docs, questions = odd
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    joined, made = both(monkeypatch, lambda: ask.ask(named, questions, digest=True))
+    assert made == joined and {len(r["context"]) for r in made} == {32}
+
+
+def test_pages_and_references_of_the_joins(spark, odd, monkeypatch):
+    docs, questions = odd
+    from quillspan.operators import sentences
+    from quillspan.sources import tables
+
+    words = sentences.word_offsets(tables.paged_words(docs, per_page=7))
+    text = tables.joined_text(words).withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" References. Some Alpha entry in it."))).otherwise(F.col("text")))
+    joined, made = both(monkeypatch, lambda: ask.ask(text, questions, words=words))
+    assert made == joined and len({r["page_number"] for r in made}) > 3
+
+
+@pytest.mark.parametrize("name", ["ask_fast", "ask_rerank"])
+def test_no_response_is_shuffled(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_sizes_are_sums_of_contexts(odd):
+    docs, questions = odd
+    asked = bulk.Questions.of(questions.filter("question is not null"))
+    runs = [Settings(), Settings(use_reranker=True)]
+    got = {r["use_reranker"]: (r["n_found"], r["context_chars"]) for r in bulk.sizes(docs, asked, runs).collect()}
+    corpus = ask.Corpus.of(docs)
+    for cfg in runs:
+        want = ask.contexts(corpus, questions.filter("question is not null"), cfg).agg(F.count(F.lit(1)), F.sum(F.length("context"))).first()
+        assert got[cfg.use_reranker] == tuple(want)
