@@ -7,12 +7,14 @@ keeps; all but the last return the columns of documents.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import decontaminate, near, pieces, pii, toxicity
-from quillspan.llm.common import delete, shared_dir, table
+from quillspan.llm import decontaminate, near, pieces, pii, simhash, toxicity
+from quillspan.llm.common import Scratch, checkpoint, delete, shared_dir, table
+from quillspan.llm.components import components
 from quillspan.plans.ship import ship
 
 
@@ -22,9 +24,29 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of five-word shingles from 0.8) the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays.
+
+    Near copies are those that SimHash links (fingerprints 4 bits apart at most, as in op4) and those of a
+    Jaccard similarity of five-word shingles from 0.8, which fingerprints alone mostly miss; a group is what
+    links of both kinds connect.
+    """
     ship(spark)
-    return near.keep_one(docs)
+    return keep_linked(docs, [simhash.near_duplicates(docs), near.near_copies(docs)])
+
+
+def keep_linked(docs: DataFrame, groupings: list[DataFrame]) -> DataFrame:
+    """The document with the smallest doc_id of each group that groupings (doc_id, component_id) connect together.
+
+    Rows without an id are kept only where no grouping puts all of them with a document that has one.
+    """
+    with Scratch(docs.sparkSession, "linked") as scratch:
+        named = [g.select("doc_id", "component_id") for g in groupings]
+        edges = reduce(DataFrame.union, named).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        gone = components(edges, scratch).filter("node <> root").select(F.col("node").alias("doc_id"))
+        for g in named:
+            gone = gone.union(g.filter("doc_id is null").groupBy().agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("component_id").isNull()).alias("apart")).filter("n > 0 and apart = 0").select(F.lit(None).cast("long")))
+        gone = checkpoint(gone.distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
 
 
 def drop_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

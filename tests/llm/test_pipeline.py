@@ -65,3 +65,24 @@ def test_stages_take_what_they_are_given(spark, small):
     for _, f in corpus_pipeline.STAGES:
         out = f(spark, docs.filter(F.lit(False)), root)
         assert out.count() == 0
+
+
+def test_near_dedup_joins_links_of_simhash_and_of_shingles(spark, monkeypatch):
+    """Two kinds of links lead from 9 over 5 to 2; each alone leaves two documents."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in (2, 5, 9, 11)], DOCS)
+    named = lambda rows: spark.createDataFrame(rows, "doc_id long, component_id long")
+    monkeypatch.setattr(corpus_pipeline.simhash, "near_duplicates", lambda d: named([(2, 2), (5, 2), (9, 9), (11, 11)]))
+    monkeypatch.setattr(corpus_pipeline.near, "near_copies", lambda d: named([(2, 2), (5, 5), (9, 5), (11, 11)]))
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {2, 11}
+
+
+def test_near_dedup_goes_through_simhash(spark):
+    """A passage told thirty times decides the fingerprint, which counts repeats; the sets of shingles differ by the rest."""
+    from quillspan.llm import near, simhash
+
+    passage = "one two three four five six seven eight nine ten eleven "
+    texts = [passage * 30 + " ".join(f"own{i}x{k}" for k in range(12)) for i in range(3)] + ["something else that is long enough to have shingles"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 0)], DOCS)
+    assert [r.component_id for r in simhash.near_duplicates(docs).orderBy("doc_id").collect()] == [0, 0, 0, 0, 3]
+    assert {r.doc_id for r in near.keep_one(docs).collect()} == {0, 1, 2, 3}
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").orderBy("doc_id").collect()] == [0, 3]
