@@ -113,7 +113,7 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     )
 
 
-def ask_boxes(boxes: DataFrame, questions: DataFrame, cfg: Settings = Settings(), scorer=None, reader=None, files: DataFrame | None = None) -> DataFrame:
+def ask_boxes(boxes: DataFrame, questions: DataFrame, cfg: Settings = Settings(), scorer=None, reader=None, files: DataFrame | None = None, digest: bool = False) -> DataFrame:
     """Responses from word boxes(doc_id, page, seq, x0, y0, x1, y1, word): reading order, text, answers and their pages.
 
     files(doc_id, error), if given, adds documents that have no words or were not read: their text is empty
@@ -123,7 +123,7 @@ def ask_boxes(boxes: DataFrame, questions: DataFrame, cfg: Settings = Settings()
     docs = layout.document_texts(ordered)
     if files is not None:
         docs = files.select("doc_id", "error").join(docs, "doc_id", "left")
-    return ask(docs, questions, cfg, ordered, scorer, reader)
+    return ask(docs, questions, cfg, ordered, scorer, reader, digest)
 
 
 def evaluate(items: DataFrame, docs: DataFrame, configurations: dict[str, Settings], scorer=None, reader=None) -> DataFrame:

@@ -118,3 +118,12 @@ def test_sizes_are_sums_of_contexts(odd):
     for cfg in runs:
         want = ask.contexts(corpus, questions.filter("question is not null"), cfg).agg(F.count(F.lit(1)), F.sum(F.length("context"))).first()
         assert got[cfg.use_reranker] == tuple(want)
+
+
+def test_boxes_are_answered_in_batches(spark, odd):
+    from quillspan.sources import tables
+
+    docs, questions = odd
+    made = ask.ask_boxes(tables.derived_words(docs.filter("doc_id in (3, 4)")), questions, digest=True)
+    assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
+    assert {len(r["context"]) for r in made.collect()} == {32}
