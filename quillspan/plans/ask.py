@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.config import TOO_LARGE, Settings
 from quillspan.functions.text import blank, tokens
-from quillspan.operators import answers, bulk, context, evaluation, layout, scoring, sentences, windows
+from quillspan.operators import answers, bulk, context, evaluation, layout, reading, scoring, sentences, windows
 from quillspan.plans.cut import cut
 from quillspan.plans.ship import ship
 
@@ -84,16 +84,17 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     docs(doc_id, text[, error]), questions(q_id, question).  Blank questions, empty and too large documents
     and those with an error are answered without being read.  reader: a model as in ``answers.read_answers``;
     without one the answer is the nearest sentence of the context.  digest: the MD5 of contexts in their place.
-    Without plug-ins pairs are answered where their document lies (``bulk``), unless the questions are too many.
+    Without plug-ins, or with a reader that takes batches (``reading.Reader``), pairs are answered where their document
+    lies (``bulk``), unless the questions are too many.
     """
     large = F.octet_length(F.coalesce("text", F.lit(""))) > cfg.max_bytes
     error = F.coalesce(F.col("error") if "error" in docs.columns else F.lit(None).cast("string"), F.when(large, TOO_LARGE))
     sized = docs.select("doc_id", "text", error.alias("error"))
     asked = questions.filter(~blank(F.col("question")))
-    if scorer is None and reader is None and bulk.able(docs, questions) and (held := bulk.Questions.of(asked)):
+    if scorer is None and (reader is None or isinstance(reader, reading.Reader)) and bulk.able(docs, questions) and (held := bulk.Questions.of(asked)):
         ship(docs.sparkSession)
         void = questions.filter(blank(F.col("question"))).select("q_id").toArrow()["q_id"].to_numpy()
-        return bulk.answers(_sentences(sized, cfg, words), held, void, cfg, digest)
+        return bulk.answers(_sentences(sized, cfg, words), held, void, cfg, digest, reader)
     corpus = Corpus.of(sized.filter("error is null").select("doc_id", "text"), cfg, words)
     terms = question_terms(asked)
     found = cut(contexts(corpus, asked, cfg, scorer, terms))

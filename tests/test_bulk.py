@@ -127,3 +127,31 @@ def test_boxes_are_answered_in_batches(spark, odd):
     made = ask.ask_boxes(tables.derived_words(docs.filter("doc_id in (3, 4)")), questions, digest=True)
     assert "MapInArrow" in made._jdf.queryExecution().executedPlan().toString()
     assert {len(r["context"]) for r in made.collect()} == {32}
+
+
+@pytest.mark.parametrize("cfg", [Settings(), Settings(use_reranker=True, min_confidence=0.4)])
+@pytest.mark.parametrize("terms", [1 << 20, 60])
+def test_spans_of_a_reader_as_by_the_joins(odd, monkeypatch, cfg, terms):
+    from quillspan.sources import tables
+
+    monkeypatch.setattr(bulk, "TERMS", terms)
+    docs, questions = odd
+    joined, made = both(monkeypatch, lambda: ask.ask(docs, questions, cfg, reader=tables.DERIVED))
+    plain = {(r["doc_id"], r["q_id"]): r for r in ask.ask(docs, questions, cfg).collect()}
+    kept = sum(r == plain[r["doc_id"], r["q_id"]] for r in made if r["found"])
+    assert made == joined and 0 < kept < sum(r["found"] for r in made)
+
+
+def test_pages_of_spans(odd, monkeypatch):
+    from quillspan.operators import sentences
+    from quillspan.sources import tables
+
+    docs, questions = odd
+    words = sentences.word_offsets(tables.paged_words(docs, per_page=7))
+    joined, made = both(monkeypatch, lambda: ask.ask(tables.joined_text(words), questions, words=words, reader=tables.DERIVED))
+    assert made == joined and len({r["page_number"] for r in made}) > 3
+
+
+def test_no_response_of_a_reader_is_shuffled(spark, sf_dir):
+    plan = catalog.QUERIES["ask_reader"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
