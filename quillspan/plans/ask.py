@@ -131,8 +131,17 @@ def evaluate(items: DataFrame, docs: DataFrame, configurations: dict[str, Settin
     """Scores of each item under each configuration: label, the item's columns, the response's, retrieval_hit, exact_match, f1.
 
     items(path, question, gold_answer); docs(path, text).  Each question is asked of its own document only.
-    An item whose document is missing has an error, no answer, and counts.
+    An item whose document is missing has an error, no answer, and counts.  Without plug-ins, or with a reader that
+    takes batches, an item is answered in a row with its text, under all configurations at once.
     """
+    if scorer is None and (reader is None or isinstance(reader, reading.Reader)):
+        ship(items.sparkSession)
+        rows = items.withColumn("q_id", F.xxhash64("path", "question"))
+        texts = docs.select("path", "text").dropDuplicates(["path"])
+        asked = rows.select("path", "q_id", "question", F.struct(*rows.columns).alias("item")).join(texts, "path", "left").withColumn("error", F.when(F.col("text").isNull(), "File not found"))
+        made = bulk.own_answers(asked, configurations, reader)
+        told = F.when(F.col("char_start") >= 0, F.col("confidence"))
+        return evaluation.item_scores(made.select("item.*", "error", F.col("answer").alias("predicted_answer"), "context", told.alias("confidence"), "page_number", "label"))
     held = cut(items.withColumn("q_id", F.xxhash64("path", "question")))
     missing = F.when(F.col("text").isNull(), "File not found")
     pairs = held.select("path", "question", "q_id").distinct().join(docs.select("path", "text").dropDuplicates(["path"]), "path", "left").withColumn("missing", missing)

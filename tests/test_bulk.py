@@ -155,3 +155,26 @@ def test_pages_of_spans(odd, monkeypatch):
 def test_no_response_of_a_reader_is_shuffled(spark, sf_dir):
     plan = catalog.QUERIES["ask_reader"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan and "Join" not in plan
+
+
+def test_items_are_answered_as_by_the_joins(spark, odd):
+    from quillspan.sources import tables
+
+    docs, questions = odd
+    path = F.concat(F.lit("p"), "doc_id")
+    items = docs.crossJoin(questions).select(path.alias("path"), "question", F.substring("text", 3, 9).alias("gold_answer"), "q_id").drop("q_id")
+    items = items.union(items.limit(3)).union(spark.sql("SELECT 'gone', 'alpha', 'beta' UNION ALL SELECT NULL, 'alpha', NULL"))
+    texts = docs.filter("doc_id <> 5").select(path.alias("path"), "text")
+    runs = {"a": Settings(), "b": Settings(use_reranker=True), "c": Settings(window=2, stride=1, min_sentence=5)}
+    made = ask.evaluate(items, texts, runs)
+    # a plug-in of rows takes the joins; this one reads nothing
+    joined = ask.evaluate(items, texts, runs, reader=lambda rows: tables.derived_logits(rows).filter("false"))
+    key = lambda r: tuple(str(v) for v in r)
+    columns = sorted(joined.columns)
+    got, want = (sorted(df.select(columns).collect(), key=key) for df in (made, joined))
+    assert sorted(made.columns) == columns and got == want and len(got) == 3 * (17 * 8 + 5)
+
+
+def test_texts_of_items_meet_once(spark, sf_dir):
+    plan = catalog.QUERIES["eval_run"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Scan ExistingRDD" not in plan and "Window" not in plan
