@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.config import TOO_LARGE, Settings
+from quillspan.config import NO_TEXT, TOO_LARGE, Settings
 from quillspan.functions.text import blank, tokens
-from quillspan.operators import answers, bulk, context, evaluation, layout, reading, scoring, sentences, windows
+from quillspan.operators import answers, bulk, context, evaluation, layout, pages, reading, scoring, sentences, windows
 from quillspan.plans.cut import cut
 from quillspan.plans.ship import ship
 
@@ -78,6 +79,16 @@ def _sentences(docs: DataFrame, cfg: Settings, words: DataFrame | None) -> DataF
     return rows.select("doc_id", "error", F.transform("s", lambda s: s["sent"]).alias("sents"), F.transform("s", lambda s: s["page"]).alias("page"))
 
 
+def _batched(docs: DataFrame, questions: DataFrame, scorer, reader) -> tuple[bulk.Questions, np.ndarray] | None:
+    """The questions as each task holds them, and the blank ones, where pairs can be answered where their document lies."""
+    if scorer is not None or not (reader is None or isinstance(reader, reading.Reader)) or not bulk.able(docs, questions):
+        return None
+    if not (held := bulk.Questions.of(questions.filter(~blank(F.col("question"))))):
+        return None
+    ship(docs.sparkSession)
+    return held, questions.filter(blank(F.col("question"))).select("q_id").toArrow()["q_id"].to_numpy()
+
+
 def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words: DataFrame | None = None, scorer=None, reader=None, digest: bool = False) -> DataFrame:
     """A response for each document and question: answer, context, places, confidences, page and error.
 
@@ -91,16 +102,14 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     error = F.coalesce(F.col("error") if "error" in docs.columns else F.lit(None).cast("string"), F.when(large, TOO_LARGE))
     sized = docs.select("doc_id", "text", error.alias("error"))
     asked = questions.filter(~blank(F.col("question")))
-    if scorer is None and (reader is None or isinstance(reader, reading.Reader)) and bulk.able(docs, questions) and (held := bulk.Questions.of(asked)):
-        ship(docs.sparkSession)
-        void = questions.filter(blank(F.col("question"))).select("q_id").toArrow()["q_id"].to_numpy()
-        return bulk.answers(_sentences(sized, cfg, words), held, void, cfg, digest, reader)
+    if held := _batched(docs, questions, scorer, reader):
+        return bulk.answers(_sentences(sized, cfg, words), *held, cfg, digest, reader)
     corpus = Corpus.of(sized.filter("error is null").select("doc_id", "text"), cfg, words)
     terms = question_terms(asked)
     found = cut(contexts(corpus, asked, cfg, scorer, terms))
     answered = answers.read_answers(found, terms, cfg, reader)
-    pages = corpus.sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "page"))), lambda s: s["page"]).alias("pages"))
-    full = found.join(answered, ["doc_id", "q_id"]).join(pages, "doc_id")
+    by_sent = corpus.sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "page"))), lambda s: s["page"]).alias("pages"))
+    full = found.join(answered, ["doc_id", "q_id"]).join(by_sent, "doc_id")
     full = full.withColumn("page_number", context.page_of(F.col("char_start"), F.col("window_offsets"), F.col("window_sent_offsets"), F.col("pages"))["page_number"])
     every = sized.select("doc_id", "error").crossJoin(questions.select("q_id", blank(F.col("question")).alias("void")))
     out = every.join(full, ["doc_id", "q_id"], "left")
@@ -114,19 +123,35 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     )
 
 
-def ask_boxes(boxes: DataFrame, questions: DataFrame, cfg: Settings = Settings(), scorer=None, reader=None, files: DataFrame | None = None, digest: bool = False) -> DataFrame:
+def ask_boxes(boxes: DataFrame | pages.Boxes, questions: DataFrame, cfg: Settings = Settings(), scorer=None, reader=None, files: DataFrame | None = None, digest: bool = False) -> DataFrame:
     """Responses from word boxes(doc_id, page, seq, x0, y0, x1, y1, word): reading order, text, answers and their pages.
 
     files(doc_id, error), if given, adds documents that have no words or were not read: their text is empty
-    and their error is told.
+    and their error is told.  Without plug-ins of rows a document's boxes are put in order and read where they lie (``pages``).
     """
-    ordered = sentences.word_offsets(cut(layout.reading_order(boxes, cfg.max_pages)))
+    held = boxes if isinstance(boxes, pages.Boxes) else pages.gathered(boxes, cfg.max_pages)
+    if asked := _batched(held.docs, questions, scorer, reader):
+        sents = pages.sentences_of(held, cfg)
+        if files is not None:
+            sents = _of_files(files, sents)
+        return bulk.answers(sents, *asked, cfg, digest, reader)
+    ordered = sentences.word_offsets(cut(layout.reading_order(held.rows(held.docs), cfg.max_pages)))
     docs = layout.document_texts(ordered)
     if files is not None:
         docs = files.select("doc_id", "error").join(docs, "doc_id", "left")
     return ask(docs, questions, cfg, ordered, scorer, reader, digest)
 
 
+def _of_files(files: DataFrame, sents: DataFrame) -> DataFrame:
+    """doc_id, error, sents, page of files(doc_id, error): their error comes first, and no words are an empty text."""
+    made = files.select("doc_id", "error").join(sents.withColumnRenamed("error", "own"), "doc_id", "left")
+    none = F.col("sents").isNull()
+    return made.select(
+        "doc_id", F.coalesce("error", "own").alias("error"),
+        F.when(none, F.array(F.lit(NO_TEXT))).otherwise(F.col("sents")).alias("sents"), F.when(none, F.array(F.lit(0))).otherwise(F.col("page")).alias("page"),
+    )
+
+
 def evaluate(items: DataFrame, docs: DataFrame, configurations: dict[str, Settings], scorer=None, reader=None) -> DataFrame:
     """Scores of each item under each configuration: label, the item's columns, the response's, retrieval_hit, exact_match, f1.
 
@@ -165,8 +190,8 @@ def ask_own(pairs: DataFrame, cfg: Settings = Settings(), scorer=None, reader=No
     mine = Corpus(corpus.sentences, corpus.windows, cut(own(corpus.terms, "doc_id")), corpus.counts)
     found = cut(contexts(mine, pairs.select("q_id", "question"), cfg, scorer, cut(own(terms, "q_id")), own=True).filter("doc_id = q_id"))
     answered = answers.read_answers(found, terms, cfg, reader)
-    pages = corpus.sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "page"))), lambda s: s["page"]).alias("pages"))
-    full = found.join(answered, ["doc_id", "q_id"]).join(pages, "doc_id")
+    by_sent = corpus.sentences.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sent_idx", "page"))), lambda s: s["page"]).alias("pages"))
+    full = found.join(answered, ["doc_id", "q_id"]).join(by_sent, "doc_id")
     return full.withColumn("page_number", context.page_of(F.col("char_start"), F.col("window_offsets"), F.col("window_sent_offsets"), F.col("pages"))["page_number"])
 
 
