@@ -91,13 +91,20 @@ def _upper_medians(values: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _row_begins(y: np.ndarray, page: np.ndarray, tol: np.ndarray) -> np.ndarray:
     """Whether a row begins at each word, by page and y0: at a page's first, then beyond the tolerance of the row's first."""
-    new = np.concatenate([[True], page[1:] != page[:-1]])
-    other = np.flatnonzero(new | np.concatenate([[True], y[1:] != y[:-1]]))
-    begins, first = [], 0.0
-    for at, v, t, begin in zip(other.tolist(), y[other].tolist(), tol[page[other]].tolist(), new[other].tolist()):
-        if begin or abs(v - first) > t:
-            first = v
+    first = np.flatnonzero(np.concatenate([[True], page[1:] != page[:-1]]))
+    begins, ys = [], y.tolist()
+    for at, hi, t in zip(first.tolist(), [*first[1:].tolist(), len(ys)], tol.tolist()):
+        while at < hi:
             begins.append(at)
+            v = ys[at]
+            if v != v:  # nulls come first, and nothing is beyond them
+                break
+            at = bisect_right(ys, v + t, at, hi)
+            # a sum is rounded otherwise than a difference
+            while ys[at - 1] - v > t:
+                at -= 1
+            while at < hi and not ys[at] - v > t:
+                at += 1
     out = np.zeros(len(y), dtype=bool)
     out[begins] = True
     return out
@@ -126,10 +133,10 @@ def _gutters(page: np.ndarray, row: np.ndarray, x0: np.ndarray, x1: np.ndarray,
     return np.where((eligible >= MIN_ROWS) & (agreed > 0) & (agreed / np.maximum(eligible, 1) >= CONSENSUS), mean, np.nan)
 
 
-def reading_order(words: Words) -> Words:
-    """Words by document and page, left column first, then by y0, x0 and seq."""
+def reading_order(words: Words) -> np.ndarray:
+    """Order of words by document and page, left column first, then by y0, x0 and seq."""
     if not len(words.doc):
-        return words
+        return np.empty(0, dtype=np.int64)
     key = (words.doc.astype(np.int64) << 32) + words.page.astype(np.int64)
     by_page = np.argsort(key, kind="stable")
     page = np.cumsum(np.diff(key[by_page], prepend=key[by_page[0]]) != 0)
@@ -143,25 +150,26 @@ def reading_order(words: Words) -> Words:
     row = np.cumsum(_row_begins(y0, page, tol)) - 1
     gutter = _gutters(page, row, x0, words.x1[order], seq[order], n)
     beyond = x0 >= gutter[page]
-    return words.take(order[np.argsort(page * 2 + beyond, kind="stable")] if beyond.any() else order)
+    return order[np.argsort(page * 2 + beyond, kind="stable")] if beyond.any() else order
 
 
-def texts(words: Words, n: int) -> Iterator[tuple[str, list[int], list[int]] | None]:
-    """Text of each of n documents, where its pages begin and which they are, of words in reading order; None without words."""
-    key = (words.doc.astype(np.int64) << 32) + words.page.astype(np.int64)
+def texts(words: Words, order: np.ndarray, n: int) -> Iterator[tuple[str, list[int], list[int]] | None]:
+    """Text of each of n documents, where its pages begin and which they are, of words in an order; None without words."""
+    doc, page, word = words.doc[order], words.page[order], [words.word[i] for i in order.tolist()]
+    key = (doc.astype(np.int64) << 32) + page.astype(np.int64)
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]]))
-    size = np.fromiter((0 if w is None else len(w) + 1 for w in words.word), np.int64, len(key))
+    full = None not in word
+    size = np.fromiter(map(len, word), np.int64, len(key)) + 1 if full else np.array([0 if w is None else len(w) + 1 for w in word])
     before = np.concatenate([[0], np.cumsum(size)])[first]
-    bounds, pages = [*first.tolist(), len(key)], words.page[first].tolist()
-    of_doc = np.searchsorted(words.doc[first], np.arange(n + 1)).tolist()
-    full = size.all()
+    bounds, pages = [*first.tolist(), len(key)], page[first].tolist()
+    of_doc = np.searchsorted(doc[first], np.arange(n + 1)).tolist()
     for lo, hi in zip(of_doc, of_doc[1:]):
         if lo == hi:
             yield None
         elif full:
-            yield " ".join(words.word[bounds[lo] : bounds[hi]]), (before[lo:hi] - before[lo]).tolist(), pages[lo:hi]
+            yield " ".join(word[bounds[lo] : bounds[hi]]), (before[lo:hi] - before[lo]).tolist(), pages[lo:hi]
         else:
-            parts = (" ".join(w for w in words.word[bounds[k] : bounds[k + 1]] if w is not None) for k in range(lo, hi))
+            parts = (" ".join(w for w in word[bounds[k] : bounds[k + 1]] if w is not None) for k in range(lo, hi))
             yield " ".join(parts), (before[lo:hi] - before[lo]).tolist(), pages[lo:hi]
 
 
@@ -189,7 +197,8 @@ def before_references(text: str, sents: list[str], starts: list[int]) -> int:
         if len(sent) <= 40 and _HEADING.search(sent):
             return k or len(sents)
     cut = len(text) * 3 // 5
-    found = _INLINE.search(text[cut:])
+    low = text[cut:].lower()
+    found = _INLINE.search(text[cut:]) if "reference" in low or "bibliography" in low or "cited" in low else None
     k = next((k for k, at in enumerate(starts) if at >= cut + found.start(1)), 0) if found else 0
     return k or len(sents)
 
@@ -222,8 +231,8 @@ def sentences_of(boxes: Boxes, cfg: Settings = Settings()) -> DataFrame:
             for rows in _shares(batch) if batch.num_rows else ():
                 words = boxes_of(rows)
                 early = words.page < cfg.max_pages
-                words = reading_order(words if early.all() else words.take(np.flatnonzero(early)))
-                found = list(texts(words, rows.num_rows))
+                words = words if early.all() else words.take(np.flatnonzero(early))
+                found = list(texts(words, reading_order(words), rows.num_rows))
                 some = [k for k, t in enumerate(found) if t is not None]
                 error, sents, page = zip(*(_read(*found[k], cfg) for k in some)) if some else ((), (), ())
                 ids = rows.column("doc_id").take(pa.array(some, pa.int64()))

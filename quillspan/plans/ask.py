@@ -89,12 +89,13 @@ def _batched(docs: DataFrame, questions: DataFrame, scorer, reader) -> tuple[bul
     return held, questions.filter(blank(F.col("question"))).select("q_id").toArrow()["q_id"].to_numpy()
 
 
-def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words: DataFrame | None = None, scorer=None, reader=None, digest: bool = False) -> DataFrame:
+def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words: DataFrame | None = None, scorer=None, reader=None, digest: bool = False, brief: bool = False) -> DataFrame:
     """A response for each document and question: answer, context, places, confidences, page and error.
 
     docs(doc_id, text[, error]), questions(q_id, question).  Blank questions, empty and too large documents
     and those with an error are answered without being read.  reader: a model as in ``answers.read_answers``;
     without one the answer is the nearest sentence of the context.  digest: the MD5 of contexts in their place.
+    brief: only the responses that are found, in the columns of ``bulk.SPOT``.
     Without plug-ins, or with a reader that takes batches (``reading.Reader``), pairs are answered where their document
     lies (``bulk``), unless the questions are too many.
     """
@@ -103,7 +104,7 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     sized = docs.select("doc_id", "text", error.alias("error"))
     asked = questions.filter(~blank(F.col("question")))
     if held := _batched(docs, questions, scorer, reader):
-        return bulk.answers(_sentences(sized, cfg, words), *held, cfg, digest, reader)
+        return bulk.answers(_sentences(sized, cfg, words), *held, cfg, digest, reader, brief)
     corpus = Corpus.of(sized.filter("error is null").select("doc_id", "text"), cfg, words)
     terms = question_terms(asked)
     found = cut(contexts(corpus, asked, cfg, scorer, terms))
@@ -113,6 +114,8 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     full = full.withColumn("page_number", context.page_of(F.col("char_start"), F.col("window_offsets"), F.col("window_sent_offsets"), F.col("pages"))["page_number"])
     every = sized.select("doc_id", "error").crossJoin(questions.select("q_id", blank(F.col("question")).alias("void")))
     out = every.join(full, ["doc_id", "q_id"], "left")
+    if brief:
+        return out.filter("found").select("doc_id", "q_id", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), "char_start", "char_end", "page_number")
     return out.select(
         "doc_id", "q_id",
         F.coalesce("answer", F.lit("")).alias("answer"), (F.md5(F.coalesce("context", F.lit("")).cast("binary")) if digest else F.coalesce("context", F.lit(""))).alias("context"),
@@ -123,7 +126,7 @@ def ask(docs: DataFrame, questions: DataFrame, cfg: Settings = Settings(), words
     )
 
 
-def ask_boxes(boxes: DataFrame | pages.Boxes, questions: DataFrame, cfg: Settings = Settings(), scorer=None, reader=None, files: DataFrame | None = None, digest: bool = False) -> DataFrame:
+def ask_boxes(boxes: DataFrame | pages.Boxes, questions: DataFrame, cfg: Settings = Settings(), scorer=None, reader=None, files: DataFrame | None = None, digest: bool = False, brief: bool = False) -> DataFrame:
     """Responses from word boxes(doc_id, page, seq, x0, y0, x1, y1, word): reading order, text, answers and their pages.
 
     files(doc_id, error), if given, adds documents that have no words or were not read: their text is empty
@@ -134,12 +137,12 @@ def ask_boxes(boxes: DataFrame | pages.Boxes, questions: DataFrame, cfg: Setting
         sents = pages.sentences_of(held, cfg)
         if files is not None:
             sents = _of_files(files, sents)
-        return bulk.answers(sents, *asked, cfg, digest, reader)
+        return bulk.answers(sents, *asked, cfg, digest, reader, brief)
     ordered = sentences.word_offsets(cut(layout.reading_order(held.rows(held.docs), cfg.max_pages)))
     docs = layout.document_texts(ordered)
     if files is not None:
         docs = files.select("doc_id", "error").join(docs, "doc_id", "left")
-    return ask(docs, questions, cfg, ordered, scorer, reader, digest)
+    return ask(docs, questions, cfg, ordered, scorer, reader, digest, brief)
 
 
 def _of_files(files: DataFrame, sents: DataFrame) -> DataFrame:

@@ -62,6 +62,17 @@ def test_answers_of_the_joins(spark, boxes, questions, monkeypatch, files):
     assert made == make() and {r.found for r in made} == {True, False} and len({r.page_number for r in made}) > 3
 
 
+def test_brief_responses_are_those_found(boxes, questions):
+    from hashlib import md5
+
+    few = boxes.filter("doc_id < 8")
+    for reader in (None, tables.DERIVED):
+        full = ask.ask_boxes(few, questions, reader=reader).filter("found").collect()
+        brief = ask.ask_boxes(few, questions, reader=reader, brief=True).collect()
+        want = sorted((r.doc_id, r.q_id, md5(r.answer.encode()).hexdigest(), r.char_start, r.char_end, r.page_number) for r in full)
+        assert want and sorted(map(tuple, brief)) == want
+
+
 def test_derived_boxes_in_both_forms(spark):
     text = " ".join(f"w{i}" + ("." if i % 9 == 0 else "") for i in range(700))
     docs = spark.createDataFrame([(k, text if k % 3 else t) for k, t in enumerate(["a b", text[:900], "", None, "   ", "é Two. Three"] * 2, -3)], "doc_id long, text string")
